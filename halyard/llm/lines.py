@@ -76,15 +76,17 @@ def dedup_lines(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     The first occurrence is that of the smallest doc_id (null last), then the
     earliest place. Rows of one doc_id and text get one result. Null text: no
     lines, kept null; a text whose lines all go: kept empty. Other columns
-    pass through; docs must not have columns of the new names."""
+    pass through."""
     gone = removed_chunks(docs.select("doc_id", "text"), average)
-    whole = docs.withColumn("tkey", F.xxhash64("text")).alias("d").join(gone.alias("p"), same_text(), "left")
-    whole = whole.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.split("d.text", "\n", -1).alias("lines_"), F.coalesce("p.gone", F.array().cast("array<struct<start:int,len:int>>")).alias("gone_"))
+    whole = docs.select(F.struct("*").alias("doc_")).select("doc_", "doc_.doc_id", "doc_.text", F.xxhash64("doc_.text").alias("tkey"))
+    whole = whole.alias("d").join(gone.alias("p"), same_text(), "left")
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    whole = whole.select("d.doc_", F.col("d.text").alias("text_"), F.split("d.text", "\n", -1).alias("lines_"), F.coalesce("p.gone", none).alias("gone_"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.flatten(F.transform("gone_", lambda g: F.sequence(g["start"], g["start"] + g["len"] - 1))))
-    kept = F.transform(numbers, lambda i: F.get("lines_", i))
-    count = F.aggregate("gone_", F.lit(0).cast("long"), lambda a, g: a + g["len"])
-    kept = F.when(F.size("gone_") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return whole.select(*docs.columns, F.coalesce(F.size("lines_").cast("long"), F.lit(0)).alias("n_lines_"), count.alias("n_removed"), kept.alias("kept")).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines_"))).drop("n_lines_")
+    kept = F.array_join(F.transform(numbers, lambda i: F.get("lines_", i)), "\n")
+    count = F.when(F.col("text_").isNull(), F.lit(0)).otherwise(F.size("lines_")).cast("long")
+    lost = F.aggregate("gone_", F.lit(0).cast("long"), lambda a, g: a + g["len"])
+    return whole.select("doc_.*", count.alias("n_lines"), lost.alias("n_removed"), F.when(F.size("gone_") == 0, F.col("text_")).otherwise(kept).alias("kept"))
 
 
 #: The same in DuckDB's SQL.

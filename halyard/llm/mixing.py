@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from halyard.llm.common import materialize, shuffle_partitions, unit, word_count
+from halyard.llm.common import WORD, materialize, shuffle_partitions, unit, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -235,11 +235,12 @@ def mixed_summary(docs: DataFrame, seed: int = 17) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 17, **parameters: int) -> DataFrame:
     """The mix itself: docs' columns, a row for each draw, shard by shard in
     the shard's order; a document that is cut keeps its first words."""
-    columns = docs.columns
-    numbered = materialize(docs.withColumn("row_", F.monotonically_increasing_id()), "docs")
-    ids = F.xxhash64("doc_id", "source", "text").alias("id_")
-    _, draws = mix_sizes(numbered.select("row_", ids, "source", word_count(F.col("text")).alias("size")), seed, **parameters)
+    numbered = materialize(docs.select(F.struct("*").alias("doc_")).withColumn("row_", F.monotonically_increasing_id()), "docs")
+    size = word_count(F.col("doc_.text"))
+    sized = numbered.select("row_", F.xxhash64("doc_.doc_id", "doc_.source", "doc_.text").alias("id_"), F.col("doc_.source").alias("source"), size.alias("size"))
+    _, draws = mix_sizes(sized, seed, **parameters)
     drawn = draws.join(numbered, "row_")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    drawn = drawn.withColumn("text", F.when(F.col("words") < word_count(F.col("text")), cut).otherwise(F.col("text")))
-    return drawn.sortWithinPartitions("shard", "order").select(*columns)
+    first_words = F.array_join(F.slice(F.regexp_extract_all("doc_.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < size, first_words).otherwise(F.col("doc_.text"))
+    drawn = drawn.withColumn("doc_", F.col("doc_").withField("text", text)).sortWithinPartitions("shard", "order")
+    return drawn.select("doc_.*")

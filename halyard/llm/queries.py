@@ -15,6 +15,7 @@ from halyard.llm.jaccard import jaccard_components
 from halyard.llm.language import identify_documents, held_out
 from halyard.llm.mixing import mixed_summary
 from halyard.llm.packing import best_fit_packing
+from halyard.llm.privacy import KINDS, TERM, find_personal_data, named
 from halyard.llm.substrings import dedup_substrings
 from halyard.llm.suffixes import dedup_bytes
 from halyard.llm.vectors import near_duplicates, top_k, usable
@@ -45,6 +46,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(named(KINDS).cast("binary"), 256).alias("base_sha256"), named((*KINDS, TERM)).alias("spans"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_personal_data": op4_personal_data,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_threshold_topk": op6_threshold_topk,
         "op7_jaccard_join": op7_jaccard_join,
