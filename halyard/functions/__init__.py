@@ -1 +1 @@
-
+"""Scalar functions over vector, code and sparse columns."""

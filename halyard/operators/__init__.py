@@ -1 +1 @@
-
+"""Search, fusion, quantisation and collection maintenance."""

@@ -1 +1 @@
-
+"""Snapshots, logs and tables at rest."""

@@ -1 +1 @@
-
+"""Collections that follow a stream of changes."""
