@@ -18,8 +18,12 @@ from halyard.llm.common import materialize
 #: Lines of a chunk, on average.
 AVERAGE = 4
 
-#: An order over (doc_id, place), null doc_id last, that hash aggregation can take the least of.
-_ORDER = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no").cast("decimal(10,0)")
+
+def place() -> Column:
+    """An order over (doc_id, no), null doc_id last, that hash aggregation can
+    take the least of."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("9223372036854775808").cast("decimal(20,0)"))
+    return doc * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no").cast("decimal(10,0)")
 
 
 def line_hash(line: Column) -> Column:
@@ -53,7 +57,7 @@ def removed_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     cut = with_chunks(docs, average)
     content = F.transform("chunks", lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), chunk_text(c["start"], c["len"]).alias("t"), F.size(F.filter(F.slice("lines", c["start"] + 1, c["len"]), lambda x: F.trim(x) != "")).alias("full")))
     keyed = F.transform(F.filter(content, lambda c: c["full"] >= 2), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), F.xxhash64(c["t"]).alias("k1"), F.xxhash64(c["t"], F.lit(1)).alias("k2")))
-    occurrences = materialize(cut.select("doc_id", "tkey", F.explode(keyed).alias("c")).select("doc_id", "tkey", "c.*").withColumn("at", _ORDER), "chunks")
+    occurrences = materialize(cut.select("doc_id", "tkey", F.explode(keyed).alias("c")).select("doc_id", "tkey", "c.*").withColumn("at", place()), "chunks")
     repeated = occurrences.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = materialize(occurrences.join(repeated, ["k1", "k2"]), "repeated")
     # Byte comparison: a key whose chunks differ (one chance in 2 ** 128) is left alone.
