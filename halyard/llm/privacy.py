@@ -180,8 +180,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def named(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of all spans, kind by kind, joined by commas."""
-    each = [F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]
-    return F.concat_ws(",", F.concat(*each))
+
+    def of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+    return F.concat_ws(",", F.concat(*[of(k) for k in kinds]))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -191,8 +194,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs).dropDuplicates(["doc_id", "tkey"])
     docs = docs.select(F.struct("*").alias("doc_")).select("doc_", "doc_.doc_id", "doc_.text")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("p.tkey"))
-    label = lambda k, s: F.when(s["value"] == "removed", "").otherwise(f"[{k.upper()}]") if k == TERM else F.lit(f"[{k.upper()}]")
-    spans = F.array_sort(F.concat(*[F.transform(f"p.{k}", lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(k, s).alias("label"))) for k in (*KINDS, TERM)]))
+
+    def labelled(kind: str) -> Column:
+        label = F.lit(f"[{kind.upper()}]")
+        return F.transform(f"p.{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["value"] == "removed", "").otherwise(label).alias("label") if kind == TERM else label.alias("label")))
+
+    spans = F.array_sort(F.concat(*[labelled(k) for k in (*KINDS, TERM)]))
     text = F.coalesce("d.text", F.lit(""))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

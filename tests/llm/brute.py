@@ -107,3 +107,37 @@ def top(ids, vectors, queries, k=20):
 
 def sha(x):
     return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c)
+        if i % 2:
+            d = d * 2 - 9 if d > 4 else d * 2
+        total += d
+    return total % 10 == 0
+
+
+def personal(text):
+    """Lists of (start, end) for email, ip, card, phone."""
+    text = text or ""
+    only = lambda s: re.sub("[^0-9]", "", s)
+    return [
+        [m.span() for m in EMAIL.finditer(text)],
+        [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))],
+        [m.span() for m in CARD.finditer(text) if 13 <= len(only(m.group())) <= 19 and luhn(only(m.group()))],
+        [m.span() for m in PHONE.finditer(text) if 9 <= len(only(m.group())) <= 15],
+    ]
+
+
+def personal_row(doc, text):
+    found = personal(text)
+    names = ",".join(f"{k}:{a}:{b}" for k, s in zip(("email", "ip", "card", "phone"), found) for a, b in s)
+    return (doc, *map(len, found), sha(names))
