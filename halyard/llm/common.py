@@ -7,7 +7,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,30 +59,67 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def lowest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index linked to each of n, directly or not."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+#: Edges of one node that a task takes; those of a node with more are salted.
+HEAVY, SALTS = 200_000, 64
+
+
+def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as one star per component, around its least id;
+    moved: the edge is a new one."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    ids, at = np.unique(np.r_[u, v], return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    root = lowest_linked(len(ids), i, j)
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    old = np.isin(own * len(ids) + root[own], i * len(ids) + j)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]]), pa.array(~old)], names=["u", "v", "moved"])
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, heavy: int = HEAVY) -> DataFrame:
     """Smallest id reachable from each id of an undirected edge list.
 
     edges: columns u, v (long). Returns (id, component_id) for every id that
-    has an edge to another id. Alternates the large-star and the small-star
-    step; every step is a min-aggregation and an equi-join, with the edges
-    written to the shared folder between rounds, so no component is ever
-    gathered in one task and nothing but two numbers goes to the driver."""
-    links = edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct()
+    has an edge to another id. In a round, an edge goes to the tasks of both
+    its ends, and each task replaces its edges by stars; the edges are written
+    to the shared folder between rounds. A path halves with each round. The
+    edges towards a node that has over `heavy` of them are salted, and that
+    node's own edges go to all salts, so no component is ever gathered in one
+    task."""
+    links = edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v")
     links = materialize(links, "cc")
-    seen = None
     for _ in range(max_rounds):
-        both = links.unionByName(links.selectExpr("v AS u", "u AS v"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        links = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "cc")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
-        if now == seen:
+        hubs = []
+        if links.count() > heavy:
+            # At most one node per `heavy` edges.
+            hubs = [r["v"] for r in links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("v").collect()]
+        no = F.lit(0).cast("long")
+        up = links.select("u", "v", F.col("u").alias("node"), no.alias("salt"))
+        down = links.select("u", "v", F.col("v").alias("node"), F.when(F.col("v").isin(hubs), F.pmod(F.xxhash64("u"), F.lit(SALTS).cast("long"))).otherwise(no).alias("salt"))
+        both = up.unionByName(down)
+        if hubs:
+            every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SALTS - 1).cast("long")))
+            both = both.unionByName(links.where(F.col("u").isin(hubs)).select("u", "v", F.col("u").alias("node"), every.alias("salt")))
+        links = materialize(both.repartition("node", "salt").select("u", "v").mapInArrow(contract, "u long, v long, moved boolean"), "cc")
+        if links.where("moved").isEmpty():
             break
-        seen = now
+        links = links.drop("moved")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id"))

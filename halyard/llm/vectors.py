@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from halyard.llm.common import connected_components, materialize, shuffle_partitions
+from halyard.llm.common import connected_components, lowest_linked, materialize
 
 #: Candidates and queries that meet in one task.
 CANDIDATES, QUERIES = 8192, 2048
@@ -92,11 +92,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     spark = candidates.sparkSession
     queries = queries.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     candidates = candidates.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select("vec_id", "vector")
-    queries, candidates = materialize(queries, "queries"), materialize(candidates, "candidates")
+    # The block number is fixed before rows are repeated for the other side's blocks.
+    some = F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("deal")
+    queries, candidates = (materialize(t.select("vec_id", "vector", some), name) for t, name in ((queries, "queries"), (candidates, "candidates")))
     q, c = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERIES), (candidates, CANDIDATES)))
-    some = F.xxhash64("vec_id", F.monotonically_increasing_id())
-    ours = queries.select("vec_id", "vector", F.lit(True).alias("ask"), F.pmod(some, F.lit(q).cast("long")).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long"))).alias("cb"))
-    theirs = candidates.select("vec_id", "vector", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))).alias("qb"), F.pmod(some, F.lit(c).cast("long")).alias("cb"))
+    ours = queries.select("vec_id", "vector", F.lit(True).alias("ask"), F.pmod("deal", F.lit(q).cast("long")).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long"))).alias("cb"))
+    theirs = candidates.select("vec_id", "vector", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))).alias("qb"), F.pmod("deal", F.lit(c).cast("long")).alias("cb"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
@@ -179,20 +180,6 @@ def collisions(a: np.ndarray, b: np.ndarray, window: int, least: int) -> np.ndar
     return hits >= least
 
 
-def lowest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index linked to each of n, directly or not."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def block_links(p: Projections) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Verified links within a block pair: weights per vector and a star of
     edges per component, not the pairs."""
