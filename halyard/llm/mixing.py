@@ -15,6 +15,7 @@ most rows is split into cells of about the square root of its rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +101,17 @@ def hypergeometric(all_: Column, good: Column, drawn: Column, u: Column) -> Colu
     return F.aggregate(steps, start, pick, lambda a: a["k"])
 
 
+def drawer(seed: int, level: int) -> Callable[[Column, Column], Column]:
+    """One source's part of a node's draw, given those before it."""
+
+    def draw(a: Column, x: Column) -> Column:
+        u = unit(F.lit(seed), F.lit(level), F.col("tree"), F.col("node"), x["source_no"])
+        k = hypergeometric(a["all"], x["q"], a["drawn"], u)
+        return F.struct((a["all"] - x["q"]).alias("all"), (a["drawn"] - k).alias("drawn"), F.concat(a["out"], F.array(k)).alias("out"))
+
+    return draw
+
+
 def split_quotas(quotas: DataFrame, sizes: DataFrame, depth: int, seed: int) -> DataFrame:
     """(tree, source_no, shard, k): the splitting tree.
 
@@ -118,13 +130,8 @@ def split_quotas(quotas: DataFrame, sizes: DataFrame, depth: int, seed: int) ->
     for level in range(depth):
         half = F.expr("cast(size(slots) / 2 AS int)")
 
-        def draw(a: Column, x: Column, level: int = level) -> Column:
-            u = unit(F.lit(seed), F.lit(level), F.col("tree"), F.col("node"), x["source_no"])
-            k = hypergeometric(a["all"], x["q"], a["drawn"], u)
-            return F.struct((a["all"] - x["q"]).alias("all"), (a["drawn"] - k).alias("drawn"), F.concat(a["out"], F.array(k)).alias("out"))
-
         start = F.struct(total(F.col("qs")).alias("all"), total(F.slice("slots", F.lit(1), half)).alias("drawn"), empty.alias("out"))
-        left = F.aggregate(F.arrays_zip(F.col("nos").alias("source_no"), F.col("qs").alias("q")), start, draw, lambda a: a["out"])
+        left = F.aggregate(F.arrays_zip(F.col("nos").alias("source_no"), F.col("qs").alias("q")), start, drawer(seed, level), lambda a: a["out"])
         nodes = nodes.withColumn("left", left).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
         nodes = nodes.select(
             "tree",
