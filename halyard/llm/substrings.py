@@ -30,13 +30,13 @@ from halyard.llm.common import materialize
 WINDOW = 50
 GRAM = 12
 
-_LAST = (1 << 63) - 1
+LAST = (1 << 63) - 1
 _RUNS = "key long, h1 long, h2 long, dk long, ord long, low int, n int, off int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """ord (doc_id, null last), dk (a hash of the row) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("ord"), F.xxhash64("doc_id", "text").alias("dk"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64("doc_id", "text").alias("dk"), F.col("text").cast("string").alias("text"))
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -157,7 +157,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     from one another. Texts under `window` words are kept whole."""
     rows = keyed(docs)
     spans = spans_per_row(duplicate_spans(rows, window, gram))
-    joined = rows.withColumn("doc_id", F.when(F.col("ord") < _LAST, F.col("ord"))).join(spans, "dk", "left").select("doc_id", "dk", "text", "s.low", "s.n")
+    joined = rows.withColumn("doc_id", F.when(F.col("ord") < LAST, F.col("ord"))).join(spans, "dk", "left").select("doc_id", "dk", "text", "s.low", "s.n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

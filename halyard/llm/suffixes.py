@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import units
 from halyard.llm.common import materialize, shuffle_partitions
-from halyard.llm.substrings import block_index, covered, keyed, listed, numbers, spans_per_row, strings, window_hashes
+from halyard.llm.substrings import LAST, block_index, covered, keyed, listed, numbers, spans_per_row, strings, window_hashes
 
 WINDOW = 400
 GRAM = 64
@@ -163,7 +163,8 @@ def run_bytes(rows: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """(key, dk, low, n, off, single, bytes): the bytes under all windows of
     each run. A document's runs travel as one array with its text."""
     per_doc = runs.groupBy("dk").agg(F.collect_set(F.struct("low", "n", "key", "off", "single")).alias("b"))
-    joined = rows.join(per_doc, "dk").select("dk", "text", "b.low", "b.n", "b.key", "b.off", "b.single")
+    # ord is not used; with it, the texts are shuffled once for all joins of the plan.
+    joined = rows.join(per_doc, "dk").select("dk", "text", "b.low", "b.n", "b.key", "b.off", "b.single", "ord")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +231,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, buck
     large = suffixes.where(F.col("size") > bucket)
     if large.isEmpty():
         return spans
-    windows = materialize(window_hashes(rows, large, window, False).distinct(), "windows")
+    windows = window_hashes(rows, large, window, False).distinct()
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
     return spans.unionByName(windows.join(twice, ["w1", "w2"], "left_semi").select("dk", F.col("at").alias("low"), F.lit(1).alias("n")))
 
@@ -245,9 +246,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket:
     kept whole. Kept bytes need not be valid UTF-8."""
     rows = keyed(docs)
     spans = spans_per_row(repeated_spans(rows, window, gram, bucket))
-    from halyard.llm.substrings import _LAST
-
-    joined = rows.withColumn("doc_id", F.when(F.col("ord") < _LAST, F.col("ord"))).join(spans, "dk", "left").select("doc_id", "dk", "text", "s.low", "s.n")
+    joined = rows.join(spans, "dk", "left").select(F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "dk", "text", "s.low", "s.n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
