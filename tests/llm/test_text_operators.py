@@ -219,7 +219,7 @@ def test_exchange_lowers_the_bins(spark):
     pieces = spark.createDataFrame([(i, int(x)) for i, x in enumerate(r.integers(1, 1024, 400))], "doc_id long, length long")
     alone = packing.pack(pieces, per_partition=20, rounds=1).select("sequence_id").distinct().count()
     again = packing.pack(pieces, per_partition=20, rounds=3).select("sequence_id").distinct().count()
-    assert again <= alone and again <= packing.lower_bound(np.array([p["length"] for p in pieces.collect()]), 1024) * 1.05 + 1
+    assert packing.lower_bound(np.array([p["length"] for p in pieces.collect()]), 1024) <= again < alone
 
 
 def segmentations(word, probability):
@@ -396,12 +396,12 @@ def test_personal_data_patterns(spark, texts):
 def test_disclosing_terms(spark):
     r = random.Random(1)
     filler = lambda n: " ".join(r.choice("lorem ipsum dolor amet sit elit".split()) for _ in range(n))
-    rows = [(i, f"{filler(30)} contact Smithson, at john@example.com {filler(30)}") for i in range(8)]
-    rows += [(100, f"{filler(10)} Smithson. {filler(10)}"), *[(200 + i, filler(60)) for i in range(40)], (300, None)]
+    rows = [(i, f"{filler(90)} contact Smithson, at john@example.com {filler(90)}") for i in range(8)]
+    rows += [(100, f"{filler(10)} Smithson. {filler(10)}"), *[(200 + i, filler(150)) for i in range(90)], (300, None)]
     found = {x["doc_id"]: x for x in privacy.find_personal_data(frame(spark, rows)).collect()}
     assert found[0]["email"] and any(rows[0][1][s["start"] : s["end"]] == "Smithson" for s in found[0]["term"])
     assert [rows[8][1][s["start"] : s["end"]] for s in found[100]["term"]] == ["Smithson"]
-    assert not any(found[200 + i]["term"] for i in range(40))
+    assert not any(found[200 + i]["term"] for i in range(90))
     clean = {x["doc_id"]: x["clean"] for x in privacy.sanitise(clashing(frame(spark, rows))).collect()}
     assert "[EMAIL]" in clean[0] and "Smithson" not in clean[0] + clean[100] and clean[200] == rows[9][1] and clean[300] is None
 
