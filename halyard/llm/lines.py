@@ -47,31 +47,17 @@ def chunk_text(start: Column, length: Column) -> Column:
     return F.array_join(F.slice("lines", start + 1, length), "\n")
 
 
-def removed_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
-    """(doc_id, tkey, gone): the chunks to remove of every document that
-    loses some, as an array of (start, len).
-
-    Hashes of chunks meet first; only documents that hold a repeated one send
-    its text, and copies meet in an aggregation by their bytes. A chunk in a
-    third of all documents is one row per task there."""
+def repeated_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
+    """(doc_id, tkey, c): the chunks of each document whose hash occurs more
+    than once, as an array of (start, len, k1, k2, later); later: it occurs
+    before in the corpus."""
     cut = with_chunks(docs, average)
     content = F.transform("chunks", lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), chunk_text(c["start"], c["len"]).alias("t"), F.size(F.filter(F.slice("lines", c["start"] + 1, c["len"]), lambda x: F.trim(x) != "")).alias("full")))
     keyed = F.transform(F.filter(content, lambda c: c["full"] >= 2), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), F.xxhash64(c["t"]).alias("k1"), F.xxhash64(c["t"], F.lit(1)).alias("k2")))
     occurrences = materialize(cut.select("doc_id", "tkey", F.explode(keyed).alias("c")).select("doc_id", "tkey", "c.*").withColumn("at", place()), "chunks")
     repeated = occurrences.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = materialize(occurrences.join(repeated, ["k1", "k2"]), "repeated")
-    # Byte comparison: a key whose chunks differ (one chance in 2 ** 128) is left alone.
-    per_doc = found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "len", "k1", "k2")).alias("c"))
-    texts = docs.withColumn("tkey", F.xxhash64("text")).alias("d").join(per_doc.alias("p"), same_text())
-    texts = texts.withColumn("lines", F.split("d.text", "\n", -1)).select("lines", F.explode("p.c").alias("c"))
-    distinct = texts.select("c.k1", "c.k2", chunk_text(F.col("c.start"), F.col("c.len")).alias("t")).distinct()
-    differing = distinct.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    gone = found.where(F.col("at") > F.col("first")).join(differing, ["k1", "k2"], "left_anti")
-    return gone.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "len")).alias("gone"))
-
-
-def same_text() -> Column:
-    return F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tkey") == F.col("p.tkey"))
+    found = occurrences.join(repeated, ["k1", "k2"])
+    return found.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "len", "k1", "k2", (F.col("at") > F.col("first")).alias("later"))).alias("c"))
 
 
 def dedup_lines(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
@@ -80,12 +66,22 @@ def dedup_lines(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     The first occurrence is that of the smallest doc_id (null last), then the
     earliest place. Rows of one doc_id and text get one result. Null text: no
     lines, kept null; a text whose lines all go: kept empty. Other columns
-    pass through."""
-    gone = removed_chunks(docs.select("doc_id", "text"), average)
-    whole = docs.select(F.struct("*").alias("doc_")).select("doc_", "doc_.doc_id", "doc_.text", F.xxhash64("doc_.text").alias("tkey"))
-    whole = whole.alias("d").join(gone.alias("p"), same_text(), "left")
-    none = F.array().cast("array<struct<start:int,len:int>>")
-    whole = whole.select("d.doc_", F.col("d.text").alias("text_"), F.split("d.text", "\n", -1).alias("lines_"), F.coalesce("p.gone", none).alias("gone_"))
+    pass through.
+
+    Hashes of chunks meet first. Texts are shuffled once, to their repeated
+    chunks, and written with them; copies then meet in an aggregation by their
+    bytes, where a chunk in a third of all documents is one row per task."""
+    chunks = repeated_chunks(docs.select("doc_id", "text"), average)
+    whole = docs.select(F.struct("*").alias("doc_"), F.xxhash64("text").alias("tkey"))
+    same = F.col("d.doc_.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tkey") == F.col("p.tkey"))
+    whole = materialize(whole.alias("d").join(chunks.alias("p"), same, "left").select("d.doc_", "p.c"), "texts")
+    texts = whole.where("c IS NOT NULL").select(F.split("doc_.text", "\n", -1).alias("lines"), F.explode("c").alias("c"))
+    by_bytes = texts.select("c.k1", "c.k2", chunk_text(F.col("c.start"), F.col("c.len")).alias("t")).distinct()
+    differing = by_bytes.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    # Chunks of one hash and other bytes (a chance of 2 ** -128 a pair) are left alone.
+    clash = [F.struct(F.lit(r["k1"]), F.lit(r["k2"])) for r in differing.collect()]
+    gone = F.filter("c", lambda x: x["later"] & ~(F.array_contains(F.array(*clash), F.struct(x["k1"], x["k2"])) if clash else F.lit(False)))
+    whole = whole.select("doc_", F.col("doc_.text").alias("text_"), F.split("doc_.text", "\n", -1).alias("lines_"), F.coalesce(gone, F.array().cast(whole.schema["c"].dataType)).alias("gone_"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.flatten(F.transform("gone_", lambda g: F.sequence(g["start"], g["start"] + g["len"] - 1))))
     kept = F.array_join(F.transform(numbers, lambda i: F.get("lines_", i)), "\n")
     count = F.when(F.col("text_").isNull(), F.lit(0)).otherwise(F.size("lines_")).cast("long")
