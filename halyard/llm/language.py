@@ -10,6 +10,7 @@ forwards and backwards and re-estimates the pieces from expected counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,13 @@ class Lattice:
         self.size = len(pieces) + 1  # id 0: a letter that is no piece
         self.longest = max(map(len, pieces))
         self.index = {}
+        ids = np.arange(1, len(pieces) + 1)
+        lengths = np.array([len(p) for p in pieces])
         for n in range(1, self.longest + 1):
-            some = [(self.key(np.array([p], dtype=f"U{n}").view(np.uint32).reshape(1, n))[0], i + 1) for i, p in enumerate(pieces) if len(p) == n]
-            some.sort()
-            self.index[n] = (np.array([k for k, _ in some], dtype=np.uint64), np.array([i for _, i in some], dtype=np.int64))
+            own = np.flatnonzero(lengths == n)
+            keys = self.key(np.array([pieces[i] for i in own], dtype=f"U{n}").view(np.uint32).reshape(len(own), n))
+            order = np.argsort(keys)
+            self.index[n] = (keys[order], ids[own][order])
 
     @staticmethod
     def key(letters: np.ndarray) -> np.ndarray:
@@ -114,6 +118,12 @@ class Lattice:
         return counts
 
 
+@lru_cache(maxsize=2)
+def lattice_of(model_path: str) -> Lattice:
+    """One lattice a worker, whatever the number of tasks it runs."""
+    return Lattice(model_path)
+
+
 def words_of(text: str) -> list[str]:
     import re
 
@@ -123,19 +133,21 @@ def words_of(text: str) -> list[str]:
 def train(labelled: DataFrame, model_path: str, rows_per_language: int = ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order and log probabilities, pieces x languages.
 
-    labelled: text and lang. Reads about rows_per_language rows of a language
-    (a documented bound: chosen by a hash of the text, all rows if fewer).
+    labelled: text, lang, and columns that tell rows apart. Reads about
+    rows_per_language rows of a language (a documented bound: chosen by a hash
+    of the row, all rows if fewer).
     Words are counted and expected counts summed on the executors; the driver
     holds one number per piece and language."""
+    row = F.xxhash64(*labelled.columns, F.lit("train"))
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
-    lattice = Lattice(model_path)
+    lattice = lattice_of(model_path)
     table = np.full((lattice.size, max(1, len(langs))), 1.0 / lattice.size)
     if not langs:
         return langs, table
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
-    chosen = F.shiftrightunsigned(F.xxhash64("text", F.lit("train")), 11) / float(1 << 53) < rate[F.col("lang")]
+    chosen = F.shiftrightunsigned(row, 11) / float(1 << 53) < rate[F.col("lang")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -154,7 +166,7 @@ def train(labelled: DataFrame, model_path: str, rows_per_language: int = ROWS_PE
         now = table
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Lattice(model_path)
+            own = lattice_of(model_path)
             total = np.zeros((own.size, len(langs)))
             for batch in batches:
                 lang, word, n = (batch.column(i).to_pylist() for i in range(3))
@@ -200,7 +212,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, model_path: s
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        lattice, probabilities = Lattice(model_path), shared.value
+        lattice, probabilities = lattice_of(model_path), shared.value
         find = re.compile(_LETTERS).findall
         cache: dict[str, int] = {}
         scores = np.zeros((CACHE_ENTRIES + 1, len(langs)))
@@ -245,5 +257,5 @@ def held_out() -> F.Column:
 def identify_documents(docs: DataFrame, model_path: str, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """Learn from the labelled rows of docs that are not held out and predict
     every row: docs with lang_pred and score. Only text reaches a prediction."""
-    langs, table = train(docs.where(~held_out()).select("text", "lang"), model_path, rows_per_language)
+    langs, table = train(docs.where(~held_out()).select("doc_id", "text", "lang"), model_path, rows_per_language)
     return identify(docs, langs, table, model_path)
