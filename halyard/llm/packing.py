@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,12 @@ class ChunkEncoder:
                 at = e + 1
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder a worker, whatever the number of tasks it runs."""
+    return ChunkEncoder(path)
+
+
 def byte_of_symbol() -> dict[str, int]:
     """The byte that each symbol of a byte-level vocabulary stands for:
     printable Latin-1 stands for itself, the rest follow from 256."""
@@ -110,7 +117,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
     The memory is bounded by CACHE_ENTRIES."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         width = 4 * capacity
 
