@@ -120,7 +120,12 @@ def candidate_terms(mentions: DataFrame) -> DataFrame:
     beside = mentions.select("entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
     per_context = beside.groupBy("term", "entity", "context").agg(F.count("*").alias("n"))
     both = per_context.groupBy("term", "entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"))
-    return both.where(F.col("contexts") >= SUPPORT).select("term", "entity", "together")
+    # A word stands by 2 * CONTEXT_WORDS mentions at most, so it stands in the
+    # corpus at least near / (2 * CONTEXT_WORDS) times. Terms that cannot reach
+    # LIKELY even so, such as the language's common words, go no further.
+    near = both.groupBy("term").agg(F.sum("together").alias("near"))
+    found = both.where(F.col("contexts") >= SUPPORT).join(near, "term")
+    return found.where(F.col("together") * (2 * CONTEXT_WORDS) >= LIKELY * F.col("near")).select("term", "entity", "together")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
