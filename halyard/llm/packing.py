@@ -229,11 +229,12 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 20_000, r
     seen = None
     for r in range(rounds):
         n = left.count()
-        if not n or n == seen:
+        if not n:
             break
-        seen = n
         parts = max(1, -(-n // per_partition))
-        last = r == rounds - 1 or parts == 1
+        # Where a round gave every piece back, the next one places them all.
+        last = r == rounds - 1 or parts == 1 or n == seen
+        seen = n
 
         salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.monotonically_increasing_id(), F.lit(r)), F.lit(parts))
         placed = left.withColumn("part_", salt).groupBy("part_").applyInPandas(placer(capacity, r, last), schema)

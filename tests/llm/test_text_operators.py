@@ -222,6 +222,17 @@ def test_exchange_lowers_the_bins(spark):
     assert packing.lower_bound(np.array([p["length"] for p in pieces.collect()]), 1024) <= again < alone
 
 
+def test_packing_where_every_bin_is_given_back(spark):
+    pieces = spark.createDataFrame([(i, 400) for i in range(100)], "doc_id long, length long")
+    for rounds in (2, 3, 4):
+        got = packing.pack(pieces, per_partition=20, rounds=rounds).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(100)), rounds
+        at = {}
+        for r in got:
+            at.setdefault(r["sequence_id"], []).append(r["offset"])
+        assert all(sorted(x) in ([0], [0, 400]) for x in at.values())
+
+
 def segmentations(word, probability):
     if not word:
         return 1.0
