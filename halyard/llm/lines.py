@@ -53,7 +53,7 @@ def repeated_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     before in the corpus."""
     cut = with_chunks(docs, average)
     content = F.transform("chunks", lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), chunk_text(c["start"], c["len"]).alias("t"), F.size(F.filter(F.slice("lines", c["start"] + 1, c["len"]), lambda x: F.trim(x) != "")).alias("full")))
-    keyed = F.transform(F.filter(content, lambda c: c["full"] >= 2), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), F.xxhash64(c["t"]).alias("k1"), F.xxhash64(c["t"], F.lit(1)).alias("k2")))
+    keyed = F.transform(F.filter(content, lambda c: c["full"] >= 2), lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["len"].alias("len"), F.xxhash64(c["t"]).alias("k1"), F.xxhash64(F.lit(1), c["t"]).alias("k2")))
     occurrences = materialize(cut.select("doc_id", "tkey", F.explode(keyed).alias("c")).select("doc_id", "tkey", "c.*").withColumn("at", place()), "chunks")
     repeated = occurrences.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = occurrences.join(repeated, ["k1", "k2"])

@@ -151,6 +151,13 @@ def test_lines_survive_a_shift(spark):
     assert kept[1] == 0 and kept[2] >= 15
 
 
+def test_second_key_of_a_chunk_is_its_own(spark):
+    rows = [(i, "\n".join(f"line {k}" for k in range(20))) for i in range(2)]
+    found = lines.repeated_chunks(frame(spark, rows)).select(F.explode("c").alias("c")).select("c.*").distinct().collect()
+    chained = {r["k1"]: r["k"] for r in spark.createDataFrame(found).withColumn("t", F.array_join(F.transform(F.sequence("start", F.col("start") + F.col("len") - 1), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")).select(F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k")).collect()}
+    assert found and all(r["k2"] != chained[r["k1"]] for r in found)
+
+
 TEXTS = [None, "", " ", "  two  spaces", "a   b\n\n c", "tab\there", "don't we'll", "x<|endoftext|>y", " nb　sp", "1234567 12.5%", "naïve Ünïcode 日本語 🙂🙂", "nul\0byte", "trailing ", "\nlead", "a \n b", "w" * 5000, "and the of " * 2000, "a\r\n\r\n b"]
 
 
