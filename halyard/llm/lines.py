@@ -65,8 +65,10 @@ def dedup_lines(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
 
     The first occurrence is that of the smallest doc_id (null last), then the
     earliest place. Rows of one doc_id and text get one result. Null text: no
-    lines, kept null; a text whose lines all go: kept empty. Other columns
-    pass through.
+    lines, kept null; a text whose lines all go: kept empty; an empty table
+    gives an empty one. A very long text is cut like any other. Other columns
+    pass through, but for input columns named n_lines, n_removed or kept, which
+    the results replace.
 
     Hashes of chunks meet first. Texts are shuffled once, to their repeated
     chunks, and written with them; copies then meet in an aggregation by their
@@ -79,14 +81,23 @@ def dedup_lines(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     by_bytes = texts.select("c.k1", "c.k2", chunk_text(F.col("c.start"), F.col("c.len")).alias("t")).distinct()
     differing = by_bytes.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     # Chunks of one hash and other bytes (a chance of 2 ** -128 a pair) are left alone.
-    clash = [F.struct(F.lit(r["k1"]), F.lit(r["k2"])) for r in differing.collect()]
-    gone = F.filter("c", lambda x: x["later"] & ~(F.array_contains(F.array(*clash), F.struct(x["k1"], x["k2"])) if clash else F.lit(False)))
+    differing = materialize(differing.select(F.struct("k1", "k2").alias("k")), "clashes")
+    later = F.filter("c", lambda x: x["later"])
+    if differing.isEmpty():
+        gone = later
+    else:
+        whole = whole.withColumn("row_", F.monotonically_increasing_id())
+        whole = materialize(whole, "numbered")
+        held = whole.select("row_", F.explode("c").alias("c")).join(differing, F.struct("c.k1", "c.k2") == F.col("k")).groupBy("row_").agg(F.collect_set("k").alias("not_"))
+        whole = whole.join(held, "row_", "left")
+        gone = F.filter(later, lambda x: ~F.coalesce(F.array_contains("not_", F.struct(x["k1"], x["k2"])), F.lit(False)))
     whole = whole.select("doc_", F.col("doc_.text").alias("text_"), F.split("doc_.text", "\n", -1).alias("lines_"), F.coalesce(gone, F.array().cast(whole.schema["c"].dataType)).alias("gone_"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.flatten(F.transform("gone_", lambda g: F.sequence(g["start"], g["start"] + g["len"] - 1))))
     kept = F.array_join(F.transform(numbers, lambda i: F.get("lines_", i)), "\n")
     count = F.when(F.col("text_").isNull(), F.lit(0)).otherwise(F.size("lines_")).cast("long")
     lost = F.aggregate("gone_", F.lit(0).cast("long"), lambda a, g: a + g["len"])
-    return whole.select("doc_.*", count.alias("n_lines"), lost.alias("n_removed"), F.when(F.size("gone_") == 0, F.col("text_")).otherwise(kept).alias("kept"))
+    others = [F.col(f"doc_.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
+    return whole.select(*others, count.alias("n_lines"), lost.alias("n_removed"), F.when(F.size("gone_") == 0, F.col("text_")).otherwise(kept).alias("kept"))
 
 
 #: The same in DuckDB's SQL.
