@@ -17,6 +17,8 @@ from halyard.llm.common import connected_components, lowest_linked, materialize
 
 #: Candidates and queries that meet in one task.
 CANDIDATES, QUERIES = 8192, 2048
+#: Under every score.
+NONE = -(1 << 62)
 
 
 def usable(vector: Column) -> Column:
@@ -30,63 +32,84 @@ def stack(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def threshold_top(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+def threshold_top(queries: np.ndarray, vectors: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Indices and scores of the k highest inner products of each query, ties
-    to the smaller index, and how many candidates were scored.
+    to the smaller index, and how many candidates were scored, query by query.
+    Queries and vectors are whole numbers. An index of -1 is none: with
+    `least`, a score that a query's kth is known to reach, what is below may
+    be left out.
 
     Fagin's threshold algorithm for many queries at once. Every dimension has
     its candidates sorted by value, and is read from the end that the query's
     sign favours. After reading to a depth, whatever was met is scored, and no
     candidate that was not met can score more than the sum of each dimension's
-    value at that depth. A query stops when this bound is below its kth."""
+    value at that depth. A query stops when this bound is below its kth.
+
+    Products are exact: in double precision where no sum of absolute products
+    can pass 2 ** 53, and in 64-bit integers beyond."""
     n, d = vectors.shape
     k = min(k, n)
+    largest = [max(1.0, float(np.abs(x).max(initial=0))) for x in (queries, vectors)]
+    exact = largest[0] * largest[1] * max(1, d) < 2.0**53
+    q, v = (queries, vectors) if exact else (queries.astype(np.int64), vectors.astype(np.int64))
     order = np.argsort(vectors, axis=0, kind="stable")
     values = np.take_along_axis(vectors, order, axis=0)
-    rank = np.empty((n, d), dtype=np.int32)
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     best = np.full((len(queries), k), -1, dtype=np.int64)
-    # A score and an index in one number: scores are integers.
-    keys = np.full((len(queries), k), -np.inf)
+    scores = np.full((len(queries), k), NONE, dtype=np.int64)
+    floor = np.full(len(queries), NONE) if least is None else least
     met = np.zeros(n, dtype=bool)
     active = np.arange(len(queries))
-    depth, scored = min(n, max(4 * k, 64)), 0
+    read, depth, scored = 0, min(n, k), 0
     while len(active):
-        high = (queries[active] > 0).any(axis=0)
-        low = (queries[active] < 0).any(axis=0)
-        now = (rank[:, high] >= n - depth).any(axis=1) | (rank[:, low] < depth).any(axis=1) if depth < n else np.ones(n, dtype=bool)
+        # The bound before this depth is read: of all that is not met yet.
+        bound = up[active] @ values[n - 1 - min(read, n - 1)] + down[active] @ values[min(read, n - 1)]
+        slack = 0 if exact else np.abs(bound) * 1e-9 + 1
+        active = active[bound + slack >= np.maximum(scores[active].min(axis=1, initial=np.iinfo(np.int64).max), floor[active])]
+        if not len(active) or read >= n:
+            break
+        now = np.zeros(n, dtype=bool)
+        now[order[n - depth : n - read, (queries[active] > 0).any(axis=0)]] = True
+        now[order[read:depth, (queries[active] < 0).any(axis=0)]] = True
+        if depth == n:
+            now[:] = True
         new = np.flatnonzero(now & ~met)
         met |= now
         if len(new):
             scored += len(new) * len(active)
-            key = (queries[active] @ vectors[new].T) * n + (n - 1 - new)
-            whole = np.concatenate([keys[active], key], axis=1)
-            names = np.concatenate([best[active], np.broadcast_to(new, key.shape)], axis=1)
-            top = np.argpartition(-whole, k - 1, axis=1)[:, :k]
-            keys[active] = np.take_along_axis(whole, top, axis=1)
+            mine = (q[active] @ v[new].T).astype(np.int64)
+            whole = np.concatenate([scores[active], mine], axis=1)
+            names = np.concatenate([best[active], np.broadcast_to(new, mine.shape)], axis=1)
+            top = ranked(whole, names, k)
+            scores[active] = np.take_along_axis(whole, top, axis=1)
             best[active] = np.take_along_axis(names, top, axis=1)
-        if depth >= n:
-            break
-        bound = up[active] @ values[n - 1 - depth] + down[active] @ values[depth]
-        kth = np.floor(keys[active].min(axis=1) / n)
-        active = active[~(bound < kth)]
-        depth = min(n, depth * 4)
-    rows = np.argsort(-keys, axis=1)
-    best = np.take_along_axis(best, rows, axis=1)
-    scores = np.floor(np.take_along_axis(keys, rows, axis=1) / n)
-    return best, scores.astype(np.int64), scored
+        read, depth = depth, min(n, depth * 2)
+    return best, scores, scored
+
+
+def ranked(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest scores of each row, ties to the smaller name."""
+    if scores.shape[1] > 4 * k:
+        # The kth score, and all that reach it: as many columns as the row with the most.
+        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+        wide = int((scores >= kth).sum(axis=1).max())
+        some = np.argpartition(-scores, min(wide, scores.shape[1]) - 1, axis=1)[:, :wide]
+    else:
+        some = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    order = np.lexsort((np.take_along_axis(names, some, axis=1), -np.take_along_axis(scores, some, axis=1)), axis=1)
+    return np.take_along_axis(some, order[:, :k], axis=1)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of the highest integer
     inner product of each query, ties to the smaller vec_id.
 
-    Both: vec_id long, vector array of whole doubles. A query is never its own
+    Both: vec_id long, vector array of whole doubles; sums of absolute products
+    are to stay under 2 ** 62, and are exact up to there. A query is never its own
     candidate (same vec_id). Null ids and vectors that are null or hold null
     or non-finite components take no part; vectors meet those of their own
     length. A repeated query id asks once, with its smallest vector; repeated
-    candidates are each ranked. Queries and candidates meet in blocks of
+    candidates are each ranked; an empty table gives none. Queries and candidates meet in blocks of
     bounded size, each block pair in one task, and a block pair sends on at
     most k rows a query."""
     spark = candidates.sparkSession
@@ -96,8 +119,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     some = F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("deal")
     queries, candidates = (materialize(t.select("vec_id", "vector", some), name) for t, name in ((queries, "queries"), (candidates, "candidates")))
     q, c = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERIES), (candidates, CANDIDATES)))
-    ours = queries.select("vec_id", "vector", F.lit(True).alias("ask"), F.pmod("deal", F.lit(q).cast("long")).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c - 1).cast("long"))).alias("cb"))
-    theirs = candidates.select("vec_id", "vector", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q - 1).cast("long"))).alias("qb"), F.pmod("deal", F.lit(c).cast("long")).alias("cb"))
+    ours = queries.select("vec_id", "vector", F.pmod("deal", F.lit(q).cast("long")).alias("qb"))
+    theirs = candidates.select("vec_id", "vector", F.pmod("deal", F.lit(c).cast("long")).alias("cb"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
@@ -105,14 +128,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
         out: list[list[np.ndarray]] = [[], [], []]
         if len(asks) and len(has):
             a, b = np.stack(asks["vector"].to_numpy()), np.stack(has["vector"].to_numpy())
-            a_id, b_id = asks["vec_id"].to_numpy(), has["vec_id"].to_numpy()
+            a_id, b_id, least = asks["vec_id"].to_numpy(), has["vec_id"].to_numpy(), asks["least"].to_numpy()
             own = np.searchsorted(b_id, a_id, "right") - np.searchsorted(b_id, a_id)
             for i in range(0, len(a), 256):
                 # One more for each row of the query's own id.
                 extra = int(own[i : i + 256].max())
-                best, score, _ = threshold_top(a[i : i + 256], b, k + extra)
+                best, score, _ = threshold_top(a[i : i + 256], b, k + extra, least[i : i + 256])
                 ids = b_id[best]
-                mine = ids == a_id[i : i + 256, None]
+                mine = (ids == a_id[i : i + 256, None]) | (best < 0)
                 place = np.cumsum(~mine, axis=1)
                 keep = ~mine & (place <= k)
                 rows, _ = np.nonzero(keep)
@@ -121,8 +144,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
                 out[2].append(score[keep])
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for c, x in zip(("query_id", "vec_id", "score"), out)})
 
-    both = ours.unionByName(theirs).withColumn("size", F.size("vector"))
-    found = both.groupBy("qb", "cb", "size").applyInPandas(meet, "query_id long, vec_id long, score long")
+    def met(asks: DataFrame, has: DataFrame, first: int, count: int) -> DataFrame:
+        """The best of each block pair, for blocks first to first + count - 1 of the candidates."""
+        numbers = lambda a, n: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(a + n - 1).cast("long")))
+        asks = asks.select("vec_id", "vector", F.lit(True).alias("ask"), "least", "qb", numbers(first, count).alias("cb"))
+        has = has.where(F.col("cb").between(first, first + count - 1)).select("vec_id", "vector", F.lit(False).alias("ask"), F.lit(NONE).alias("least"), numbers(0, q).alias("qb"), "cb")
+        both = asks.unionByName(has).withColumn("size", F.size("vector"))
+        return both.groupBy("qb", "cb", "size").applyInPandas(meet, "query_id long, vec_id long, score long")
+
+    # A block of the candidates first: its kth score bounds what the others need to read.
+    found = met(ours.withColumn("least", F.lit(NONE)), theirs, 0, 1)
+    if c > 1:
+        found = materialize(found, "first")
+        order = W.partitionBy("query_id").orderBy(F.col("score").desc())
+        kth = found.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        ours = ours.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(NONE)))
+        found = found.unionByName(met(ours, theirs, 1, c - 1))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -95,3 +95,25 @@ def test_recall_at_the_limit(spark):
 
 def test_near_duplicates_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+@pytest.mark.parametrize("scale", [1e4, 1e6, 1e8])
+def test_scores_are_exact(scale):
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.standard_normal((400, 16)) * scale)
+    x[100:130] = x[5]
+    best, score, _ = vectors.threshold_top(x[:20], x, 10)
+    exact = x[:20].astype(object) @ x.T.astype(object)
+    for i in range(20):
+        want = sorted((-int(s), j) for j, s in enumerate(exact[i]))[:10]
+        assert [(-s, j) for j, s in zip(best[i].tolist(), score[i].tolist())] == want
+
+
+def test_known_bound_saves_reading():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 50, (5000, 4)).astype(float)
+    best, score, all_ = vectors.threshold_top(np.ones((1, 4)), x, 5)
+    again, same, fewer = vectors.threshold_top(np.ones((1, 4)), x, 5, score[:, -1])
+    assert fewer <= all_ < 5000 and (again == best).all() and (same == score).all()
+    nothing, _, none = vectors.threshold_top(np.ones((1, 4)), x, 5, np.array([1000]))
+    assert none == 0 and (nothing == -1).all()
