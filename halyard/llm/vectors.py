@@ -166,13 +166,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
 
 #: Near-duplicate search: the cosine, the recall at exactly that cosine, the
 #: width of a projection's cell and half that of a window in distances.
-COSINE, RECALL, CELL, WINDOW = 0.9, 0.98, 2.2, 2.0
+COSINE, RECALL, CELL, WINDOW = 0.9, 0.98, 2.2, 1.5
+#: Projections whose windows are counted for a pair.
+COUNTED = 32
 #: Vectors of a cell that meet in one task, and the cell size aimed at.
 BLOCK, CELL_ROWS = 2048, 1500
 
 
 class Projections:
-    """Seeded one-dimensional projections, in `groups` groups of `each`.
+    """Seeded one-dimensional projections: `count` whose windows are counted,
+    and `groups` of `each` that deal vectors to cells.
 
     For two unit vectors at distance r a projection differs by a normal of
     deviation r. `each` grows with the logarithm of the rows so that cells
@@ -180,32 +183,38 @@ class Projections:
     the wanted recall; `least` is the collision count that all but a
     thousandth of such pairs reach."""
 
-    def __init__(self, rows: int, cosine: float = COSINE, recall: float = RECALL, cell: float = CELL, window: float = WINDOW) -> None:
+    def __init__(self, rows: int, cosine: float = COSINE, recall: float = RECALL, cell: float = CELL, window: float = WINDOW, count: int = COUNTED) -> None:
         r = math.sqrt(2 - 2 * cosine)
         same = 1 - r * math.sqrt(2 / math.pi) / cell  # both ends of a difference in one cell
-        self.cosine, self.cell = cosine, cell
-        self.each = min(30, max(4, math.ceil(math.log2(max(2, rows) / CELL_ROWS))))
-        self.groups = math.ceil(math.log(1 - recall) / math.log(1 - same**self.each))
-        self.count = self.each * self.groups
+        self.cosine, self.cell, self.count = cosine, cell, count
+        self.each = max(4, math.ceil(math.log2(max(2, rows) / CELL_ROWS)))
+        self.groups = math.ceil(math.log(1 - recall) / math.log1p(-(same**self.each)))
         self.window = math.ceil(window * r * 16) + 1  # in sixteenths, rounding included
         near = math.erf(window / math.sqrt(2))
-        tail, self.least = 0.0, 0
-        for i in range(self.count + 1):
-            tail += math.comb(self.count, i) * near**i * (1 - near) ** (self.count - i)
-            if tail > 0.001:
-                self.least = i
-                break
-
-    def of(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Projections in sixteenths (a byte each) and the key of each group's cell."""
-        rng = np.random.default_rng(20240229)
-        p = unit @ rng.standard_normal((self.count, unit.shape[1])).T
-        at = np.floor((p + rng.random(self.count) * self.cell) / self.cell).astype(np.int64).astype(np.uint64).reshape(len(unit), self.groups, self.each)
-        key = np.full((len(unit), self.groups), 0x9E3779B97F4A7C15, dtype=np.uint64)
-        for i in range(self.each):
-            key = (key ^ at[:, :, i]) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(29)
-        return np.clip(np.round(p * 16) + 128, 0, 255).astype(np.uint8), key.view(np.int64)
+        self.least, tail = 0, (1 - near) ** count
+        while tail <= 0.001:
+            self.least += 1
+            tail += math.exp(math.lgamma(count + 1) - math.lgamma(self.least + 1) - math.lgamma(count - self.least + 1) + self.least * math.log(near) + (count - self.least) * math.log1p(-near))
+
+    def counted(self, unit: np.ndarray) -> np.ndarray:
+        """Projections in sixteenths, a byte each."""
+        p = unit @ np.random.default_rng(20240229).standard_normal((self.count, unit.shape[1])).T
+        return np.clip(np.round(p * 16) + 128, 0, 255).astype(np.uint8)
+
+    def cells(self, unit: np.ndarray, groups: range | None = None) -> np.ndarray:
+        """The key of the cell in each of the groups (all, or the first ones)."""
+        groups = groups or range(self.groups)
+        out = np.empty((len(unit), len(groups)), dtype=np.uint64)
+        for g in groups:
+            rng = np.random.default_rng((20240301, g))
+            p = unit @ rng.standard_normal((self.each, unit.shape[1])).T
+            at = np.floor((p + rng.random(self.each) * self.cell) / self.cell).astype(np.int64).astype(np.uint64)
+            key = np.full(len(unit), 0x9E3779B97F4A7C15, dtype=np.uint64)
+            for i in range(self.each):
+                key = (key ^ at[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
+                key ^= key >> np.uint64(29)
+            out[:, g] = key
+        return out.view(np.int64)
 
 
 def collisions(a: np.ndarray, b: np.ndarray, window: int, least: int) -> np.ndarray:
@@ -232,8 +241,9 @@ def block_links(p: Projections) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sides = []
         for side in (a_side, b_side):
             x = np.stack(side["vector"].to_numpy()).astype(np.float64)
-            _, key = p.of(x / np.linalg.norm(x, axis=1, keepdims=True))
-            sides.append((x, np.linalg.norm(x, axis=1), np.frombuffer(b"".join(side["proj"]), dtype=np.uint8).reshape(len(x), -1), key))
+            norm = np.linalg.norm(x, axis=1)
+            unit = x / norm[:, None]
+            sides.append((x, norm, p.counted(unit), p.cells(unit, range(group)) if group else np.zeros((len(x), 0), dtype=np.int64)))
         (xa, na, pa_, ka), (xb, nb, pb, kb) = sides
         ii, jj = [], []
         for low in range(0, len(xa), 256):
@@ -249,7 +259,7 @@ def block_links(p: Projections) -> Callable[[pd.DataFrame], pd.DataFrame]:
             close = cosine / (na[low + i] * nb[j]) >= p.cosine
             i, j = i[close] + low, j[close]
             # A pair counts in the first group whose cell it shares.
-            new = ~(ka[i, :group] == kb[j, :group]).any(axis=1)
+            new = ~(ka[i] == kb[j]).any(axis=1)
             ii.append(i[new])
             jj.append(j[new])
         if not ii or not sum(map(len, ii)):
@@ -293,20 +303,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
             for n in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == n))
                 x = stack(part.column(1))
-                proj, key = p.of(x / np.linalg.norm(x, axis=1, keepdims=True))
-                bytes_ = pa.array([r.tobytes() for r in proj], pa.binary())
+                key = p.cells(x / np.linalg.norm(x, axis=1, keepdims=True))
                 keys = pa.ListArray.from_arrays(np.arange(0, key.size + 1, p.groups, dtype=np.int32), key.ravel())
-                yield pa.RecordBatch.from_arrays([*part.columns, bytes_, keys], names=["id", "vector", "copies", "proj", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=["id", "vector", "copies", "keys"])
 
     kind = distinct.schema["vector"].dataType.simpleString()
-    placed = distinct.select("id", "vector", "copies").mapInArrow(project, f"id long, vector {kind}, copies long, proj binary, keys array<long>")
+    placed = distinct.select("id", "vector", "copies").mapInArrow(project, f"id long, vector {kind}, copies long, keys array<long>")
     placed = materialize(placed, "projected")
     cells = placed.select("id", F.size("vector").alias("size"), F.posexplode("keys").alias("g", "cell"))
     sizes = cells.groupBy("g", "cell", "size").agg(F.count("*").alias("n")).where("n > 1")
-    each = placed.select("id", "vector", "copies", "proj", F.size("vector").alias("size"), F.posexplode("keys").alias("g", "cell")).join(sizes, ["g", "cell", "size"])
+    each = placed.select("id", "vector", "copies", F.size("vector").alias("size"), F.posexplode("keys").alias("g", "cell")).join(sizes, ["g", "cell", "size"])
     each = each.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("b", F.pmod(F.xxhash64("id", "g"), F.col("blocks")))
     meets = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("b", o).alias("bi"), F.greatest("b", o).alias("bj"))))
-    dealt = each.withColumn("meet", meets).select("id", "vector", "copies", "proj", "g", "cell", "size", "meet.bi", "meet.bj", (F.col("b") == F.col("meet.bi")).alias("left"))
+    dealt = each.withColumn("meet", meets).select("id", "vector", "copies", "g", "cell", "size", "meet.bi", "meet.bj", (F.col("b") == F.col("meet.bi")).alias("left"))
     found = dealt.groupBy("g", "cell", "size", "bi", "bj").applyInPandas(block_links(p), "id long, links long, root long")
     found = materialize(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -117,3 +117,23 @@ def test_known_bound_saves_reading():
     assert fewer <= all_ < 5000 and (again == best).all() and (same == score).all()
     nothing, _, none = vectors.threshold_top(np.ones((1, 4)), x, 5, np.array([1000]))
     assert none == 0 and (nothing == -1).all()
+
+
+def test_projections_of_any_number_of_rows():
+    for rows in (0, 1, 500, 10**6, 10**8, 10**11, 10**13):
+        p = vectors.Projections(rows)
+        assert p.groups >= 1 and 0 < p.least <= p.count
+        assert 1 - (1 - (1 - np.sqrt(0.2 * 2 / np.pi) / p.cell) ** p.each) ** p.groups >= vectors.RECALL
+
+
+@pytest.mark.parametrize("rows", [1000, 4000])
+def test_recall_of_planted_pairs(spark, monkeypatch, rows):
+    """At two numbers of rows, with cells of few rows."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 60)
+    rng = np.random.default_rng(rows)
+    a = rng.standard_normal((rows, 32))
+    b = a[:300] + 0.35 * rng.standard_normal((300, 32))
+    x = np.concatenate([a, b])
+    near = linked(x).sum()
+    got = vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert near > 100 and 0.9 * near <= got.agg(F.sum("n_links")).first()[0] <= near
