@@ -23,7 +23,7 @@ EM_ROUNDS = 2
 #: Letters of a word scored at once; longer words are cut.
 WORD_LETTERS = 24
 #: Distinct words whose scores a task remembers at once.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Probability of a letter that is no piece, in every language.
 UNKNOWN = 1e-7
 UNDECIDED = "und"
@@ -175,8 +175,8 @@ def train(labelled: DataFrame, model_path: str, rows_per_language: int = ROWS_PE
                     by.setdefault(k, []).append(i)
                 for k, at in by.items():
                     column = langs.index(k)
-                    for i in range(0, len(at), 20_000):
-                        some = at[i : i + 20_000]
+                    for i in range(0, len(at), 10_000):
+                        some = at[i : i + 10_000]
                         total[:, column] += own.expected([word[j] for j in some], np.array([n[j] for j in some], dtype=float), now[:, column])
             piece, column = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(column, pa.int32()), pa.array(total[piece, column])], names=["piece", "lang", "n"])
@@ -230,8 +230,8 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, model_path: s
                     if len(new) >= len(scores):
                         scores = np.zeros((len(new) + 1, len(langs)))
                 base = len(cache)
-                for i in range(0, len(new), 20_000):
-                    scores[base + i : base + min(len(new), i + 20_000)] = lattice.score(new[i : i + 20_000], probabilities)
+                for i in range(0, len(new), 10_000):
+                    scores[base + i : base + min(len(new), i + 10_000)] = lattice.score(new[i : i + 10_000], probabilities)
                 cache.update(zip(new, range(base, base + len(new))))
                 names, sure = [], []
                 for t in texts:
