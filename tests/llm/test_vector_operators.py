@@ -103,7 +103,8 @@ def test_scores_are_exact(scale):
     x = np.floor(rng.standard_normal((400, 16)) * scale)
     x[100:130] = x[5]
     best, score, _ = vectors.threshold_top(x[:20], x, 10)
-    exact = x[:20].astype(object) @ x.T.astype(object)
+    whole = x.astype(np.int64).astype(object)
+    exact = whole[:20] @ whole.T
     for i in range(20):
         want = sorted((-int(s), j) for j, s in enumerate(exact[i]))[:10]
         assert [(-s, j) for j, s in zip(best[i].tolist(), score[i].tolist())] == want
