@@ -2,7 +2,8 @@
 operations only.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone
-numbers. Words around their mentions may give an entity away as well. Over the
+numbers. A mention is one of its value, of a class of values (the mail domain,
+the network, the issuer, the dialling code) and of its kind. Words around their mentions may give an entity away as well. Over the
 whole corpus, a term t discloses an entity e when the entity is likely where
 the term stands, P(e | t), and far likelier than elsewhere, log2 of
 P(e | t) / P(e) bits. Terms over both thresholds, seen in enough different
@@ -28,6 +29,8 @@ CONTEXT_WORDS, CONTEXT_CHARS = 5, 80
 SUPPORT, TERM_LETTERS = 3, 4
 #: P(e | t) and bits from which a term is generalised; P(e | t) from which it is removed.
 LIKELY, BITS, CERTAIN = 0.5, 6.0, 0.95
+#: Leading digits of a card's issuer and of a phone number's dialling code.
+ISSUER, DIALLING = 4, 3
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Each finds what the plain pattern in the comment finds, leftmost and without overlap.
@@ -113,40 +116,51 @@ def context(text: Column, start: Column, end: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(words, normal), lambda w: F.length(w) >= TERM_LETTERS))
 
 
+def entities(kind: str, value: Column) -> Column:
+    """What a mention reveals: the value, its class and its kind."""
+    cut = {
+        "email": F.concat(F.lit("email:@"), F.lower(F.regexp_replace(value, "^.*@", ""))),
+        "ip": F.concat(F.lit("ip:"), F.substring_index(value, ".", 2), F.lit(".")),
+        "card": F.concat(F.lit("card:"), F.substring(digits(value), 1, ISSUER), F.lit("-")),
+        "phone": F.concat(F.lit("phone:+"), F.substring(digits(value), 1, DIALLING), F.lit("-")),
+    }[kind]
+    return F.array(F.concat(F.lit(f"{kind}:"), value), cut, F.lit(kind))
+
+
 def candidate_terms(mentions: DataFrame) -> DataFrame:
     """(term, entity, together): terms of SUPPORT different contexts of one
     entity, with the mentions they stand by. Copies of a passage are one
     context."""
-    beside = mentions.select("entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
+    beside = mentions.select("entities", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
+    beside = beside.select("term", F.explode("entities").alias("entity"), "context")
     per_context = beside.groupBy("term", "entity", "context").agg(F.count("*").alias("n"))
     both = per_context.groupBy("term", "entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"))
-    # A word stands by 2 * CONTEXT_WORDS mentions at most, so it stands in the
-    # corpus at least near / (2 * CONTEXT_WORDS) times. Terms that cannot reach
-    # LIKELY even so, such as the language's common words, go no further.
-    near = both.groupBy("term").agg(F.sum("together").alias("near"))
-    found = both.where(F.col("contexts") >= SUPPORT).join(near, "term")
-    return found.where(F.col("together") * (2 * CONTEXT_WORDS) >= LIKELY * F.col("near")).select("term", "entity", "together")
+    return both.where(F.col("contexts") >= SUPPORT).select("term", "entity", "together")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(doc_id, tkey, terms): an array of (term, certain) for every document
-    that holds disclosing terms. Counts cover all documents."""
-    mentions = base.select("doc_id", "tkey", F.explode("mentions").alias("m")).select("m.entity", "m.terms")
+    that holds disclosing terms. Counts cover all documents: every term's
+    occurrences are counted before any is dropped."""
+    mentions = base.select(F.explode("mentions").alias("m")).select("m.entities", "m.terms")
     candidates = materialize(candidate_terms(mentions), "terms")
     empty = docs.sparkSession.createDataFrame([], "doc_id long, tkey long, terms array<struct<term:string,certain:boolean>>")
     if candidates.isEmpty():
         return empty
-    words = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
-    places = words.select("doc_id", "tkey", normal(F.col("word")).alias("term")).where(F.length("term") >= TERM_LETTERS)
-    hits = materialize(places.join(candidates.select("term").distinct(), "term").groupBy("term", "doc_id", "tkey").agg(F.count("*").alias("n")), "hits")
-    anywhere = hits.groupBy("term").agg(F.sum("n").alias("anywhere"))
-    by_entity = mentions.groupBy("entity").agg(F.count("*").alias("mentions"))
-    corpus = places.count()
-    judged = candidates.join(anywhere, "term").join(by_entity, "entity")
+    words = docs.select("doc_id", "text", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word"))
+    places = words.select("doc_id", "text", normal(F.col("word")).alias("term")).where(F.length("term") >= TERM_LETTERS)
+    vocabulary = materialize(places.groupBy("term").agg(F.count("*").alias("anywhere")), "vocabulary")
+    corpus = vocabulary.agg(F.sum("anywhere")).first()[0] or 1
     given = F.least(F.lit(1.0), F.col("together") / F.col("anywhere"))
-    bits = F.log2(given / (F.col("mentions") * 2 * CONTEXT_WORDS / F.lit(max(1, corpus))))
-    strong = judged.where((given >= LIKELY) & (bits >= BITS)).groupBy("term").agg(F.max(given >= CERTAIN).alias("certain"))
-    return hits.join(strong, "term").groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("term", "certain")).alias("terms"))
+    likely = candidates.join(vocabulary, "term").withColumn("given", given).where(F.col("given") >= LIKELY)
+    by_entity = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("mentions"))
+    bits = F.log2(F.col("given") / (F.col("mentions") * 2 * CONTEXT_WORDS / F.lit(corpus)))
+    strong = likely.join(by_entity, "entity").where(bits >= BITS).groupBy("term").agg(F.max(F.col("given") >= CERTAIN).alias("certain"))
+    strong = materialize(strong, "strong")
+    if strong.isEmpty():
+        return empty
+    hits = places.join(strong, "term").select("doc_id", F.xxhash64("text").alias("tkey"), "term", "certain")
+    return hits.groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("term", "certain")).alias("terms"))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -170,11 +184,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (a hash of the text) and an array of (start, end, value)
     for each of email, ip, card, phone and term, for every row of docs (doc_id,
     text; other columns are ignored). Starts count from 0, ends are exclusive,
-    both in code points. Null text has none. Rows of one doc_id and text get
-    one result; spans of different kinds may overlap."""
+    both in code points. Null and empty texts have none, an empty table gives an
+    empty one, a text of any length is read whole. Rows of one doc_id and text
+    get equal results; spans of different kinds may overlap, and each of them
+    stands. A context is CONTEXT_WORDS words to each side, of those within
+    CONTEXT_CHARS characters."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     found = base_spans(docs)
-    mention = lambda k: F.transform(k, lambda s: F.struct(F.concat(F.lit(f"{k}:"), s["value"]).alias("entity"), context(F.col("text"), s["start"], s["end"]).alias("terms")))
+    mention = lambda k: F.transform(k, lambda s: F.struct(entities(k, s["value"]).alias("entities"), context(F.col("text"), s["start"], s["end"]).alias("terms")))
     base = materialize(found.select("doc_id", "tkey", *KINDS, F.concat(*[mention(k) for k in KINDS]).alias("mentions")), "personal")
     terms = disclosing_terms(docs, base)
     added = term_spans(docs, terms)
