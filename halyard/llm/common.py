@@ -4,6 +4,7 @@ folder, connected components, and small column helpers."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -18,14 +19,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where
-    that is unset, as in local tests."""
+    """The folder named by spark.checkpoint.dir. Only where that is unset: one
+    of our own in local mode, and the warehouse, which a cluster shares."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_halyard"
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="halyard-")
@@ -33,15 +37,61 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    Cuts the lineage where a table feeds several branches. Unlike
-    localCheckpoint, the rows survive a lost executor."""
+
+@atexit.register
+def remove_written() -> None:
+    """At the driver's end nothing reads the tables any more."""
+    for spark, path in _written:
+        if spark.sparkContext._jsc is None:
+            return
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            remove(spark, path)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written once as Parquet in the shared folder and read back, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back.
+
+    Cuts the lineage where a table feeds several branches. Unlike
+    localCheckpoint, the rows survive a lost executor. Tables are deleted when
+    the driver ends, as results may be read until then."""
+    return written(df, name)[0]
+
+
+#: Keys that are spread by spread_join: at most this many, so they are small
+#: enough to be broadcast; and the tasks that each is spread over.
+HOT_KEYS, SALTS = 512, 64
+
+
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], total: int, least: int = 1000) -> DataFrame:
+    """rows joined with found (one row a key; n: how many of rows have it,
+    which is left out of the result).
+
+    A key of more than total / HOT_KEYS rows is hot: found's row of it goes to
+    SALTS tasks and the rows are dealt among these. There are HOT_KEYS hot keys
+    at most, whatever the input, and only their keys are broadcast."""
+    limit = max(least, total // HOT_KEYS + 1)
+    found = found.withColumnRenamed("n", "times_")
+    hot = found.where(F.col("times_") >= limit).select(*keys, F.lit(True).alias("hot_"))
+    salt = F.when(F.col("hot_"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("salt_", salt).drop("hot_")
+    salts = F.when(F.col("times_") >= limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    # Both sides grow with the input, so neither is broadcast.
+    spread = found.withColumn("salt_", F.explode(salts)).drop("times_")
+    return dealt.join(spread.hint("merge"), [*keys, "salt_"]).drop("salt_")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -73,8 +123,8 @@ def lowest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-#: Edges of one node that a task takes; those of a node with more are salted.
-HEAVY, SALTS = 200_000, 64
+#: Edges of one node from which it is salted; edges of a task.
+HEAVY, TASK_EDGES = 1000, 1_000_000
 
 
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,28 +146,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, heavy: int = HE
     """Smallest id reachable from each id of an undirected edge list.
 
     edges: columns u, v (long). Returns (id, component_id) for every id that
-    has an edge to another id. In a round, an edge goes to the tasks of both
-    its ends, and each task replaces its edges by stars; the edges are written
-    to the shared folder between rounds. A path halves with each round. The
-    edges towards a node that has over `heavy` of them are salted, and that
-    node's own edges go to all salts, so no component is ever gathered in one
-    task."""
+    has an edge to another id; an empty list gives an empty table. In a round,
+    an edge goes to the tasks of both its ends, and each task replaces its
+    edges by stars; the edges are written to the shared folder between rounds,
+    and those of the round before deleted. A path halves with each round. The
+    edges towards a node that has over `heavy` of them, or over 1 / HOT_KEYS of
+    all, are salted, and that node's own edges go to all salts; so no component
+    is ever gathered in one task, and at most HOT_KEYS such nodes are
+    broadcast. Tasks take about TASK_EDGES edges."""
+    spark = edges.sparkSession
     links = edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v")
-    links = materialize(links, "cc")
+    links, path = written(links, "cc")
+    total = links.count()
     for _ in range(max_rounds):
-        hubs = []
-        if links.count() > heavy:
-            # At most one node per `heavy` edges.
-            hubs = [r["v"] for r in links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("v").collect()]
+        limit = max(heavy, total // HOT_KEYS + 1)
         no = F.lit(0).cast("long")
+        hubs, hubs_path = written(links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("v").alias("node")), "hubs")
         up = links.select("u", "v", F.col("u").alias("node"), no.alias("salt"))
-        down = links.select("u", "v", F.col("v").alias("node"), F.when(F.col("v").isin(hubs), F.pmod(F.xxhash64("u"), F.lit(SALTS).cast("long"))).otherwise(no).alias("salt"))
-        both = up.unionByName(down)
-        if hubs:
-            every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SALTS - 1).cast("long")))
-            both = both.unionByName(links.where(F.col("u").isin(hubs)).select("u", "v", F.col("u").alias("node"), every.alias("salt")))
-        links = materialize(both.repartition("node", "salt").select("u", "v").mapInArrow(contract, "u long, v long, moved boolean"), "cc")
-        if links.where("moved").isEmpty():
+        down = links.select("u", "v", F.col("v").alias("node")).join(F.broadcast(hubs.withColumn("hub", F.lit(True))), "node", "left")
+        down = down.select("u", "v", "node", F.when(F.col("hub"), F.pmod(F.xxhash64("u"), F.lit(SALTS).cast("long"))).otherwise(no).alias("salt"))
+        every = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(SALTS - 1).cast("long")))
+        own = links.withColumn("node", F.col("u")).join(F.broadcast(hubs), "node").select("u", "v", "node", every.alias("salt"))
+        both = up.unionByName(down).unionByName(own)
+        # Without a number, few edges are read by few tasks.
+        parts = -(-2 * total // TASK_EDGES)
+        deal = [parts] if parts > shuffle_partitions(spark) else []
+        before = [path, hubs_path]
+        links, path = written(both.repartition(*deal, "node", "salt").select("u", "v").mapInArrow(contract, "u long, v long, moved boolean"), "cc")
+        for old in before:
+            remove(spark, old)
+        total, moved = links.agg(F.count("*"), F.count_if("moved")).first()
+        if not moved:
             break
         links = links.drop("moved")
     else:

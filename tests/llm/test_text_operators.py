@@ -53,11 +53,11 @@ def corpus(seed, n=60, vocabulary=40, most=60):
 HARD = [(0, None), (1, ""), (2, " \n\t "), (3, "one"), (4, "one"), (5, "a b c d"), (6, "a b c d"), (7, "a b c d e"), (8, "x " * 3000), (9, "x " * 3000), (10, "aa" * 4000), (11, "aa" * 4000), (12, "Ünï " * 50)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substrings(spark, seed):
+@pytest.mark.parametrize(("seed", "bucket"), [(1, 1024), (2, 1024), (2, 2)])
+def test_substrings(spark, seed, bucket):
     docs = corpus(seed) + [(100 + i, t) for i, t in HARD]
     df = clashing(frame(spark, docs))
-    got = sorted(tuple(r) for r in substrings.dedup_substrings(df, window=6, gram=3).collect())
+    got = sorted(tuple(r) for r in substrings.dedup_substrings(df, window=6, gram=3, bucket=bucket).collect())
     assert got == sorted(brute.substrings(docs, 6))
 
 
@@ -77,6 +77,25 @@ def test_suffixes(spark, seed, bucket):
     assert got == sorted(brute.suffixes(docs, 24))
 
 
+def test_one_anchor_in_many_contexts(spark):
+    """A passage that stands in every document, beside words of its own."""
+    r = random.Random(4)
+    gram = [f"g{i}" for i in range(4)]
+    side = lambda: [r.choice(["x", "y", "z"]) for _ in range(r.randint(0, 9))]
+    docs = [(i, " ".join(side() + gram + side())) for i in range(80)]
+    got = sorted(tuple(x) for x in substrings.dedup_substrings(frame(spark, docs), window=7, gram=3, bucket=4).collect())
+    assert got == sorted(brute.substrings(docs, 7))
+    got = sorted((x[0], x[1], x[2], x[3], bytes(x[4])) for x in suffixes.dedup_bytes(frame(spark, docs), window=16, gram=5, bucket=4).collect())
+    assert got == sorted(brute.suffixes(docs, 16))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=30))
+def test_parse(lengths):
+    reach = np.maximum.accumulate(np.minimum(np.arange(len(lengths)) + lengths, len(lengths)))
+    assert substrings.parse(reach, 4).tolist() == [reach[i] - i >= 4 for i in range(len(lengths))]
+
+
 def test_suffixes_empty(spark):
     assert suffixes.dedup_bytes(frame(spark, [])).collect() == []
 
@@ -122,6 +141,25 @@ def test_jaccard_chains_and_repeats(spark):
     assert jaccard.jaccard_components(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("spread", [0, 3, 12])
+def test_links_of_a_region(spread):
+    """Cells of pivots within a task: components are those of all pairs."""
+    rng = np.random.default_rng(spread)
+    sets = []
+    for i in range(120):
+        base = np.arange(200) + 1000 * (i % 5 if spread == 12 else 0)
+        own = base.copy()
+        at = rng.choice(200, rng.integers(0, 2 * spread + 1), replace=False)
+        own[at] = 100_000 + rng.integers(0, 1 << 40, len(at))
+        sets.append(np.unique(own))
+    sizes = [len(s) for s in sets]
+    i, j = jaccard.Sets([s.astype("<i8").tobytes() for s in sets], sizes, 75).links()
+    both = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    every = np.nonzero(100 * both >= 75 * (np.array(sizes)[:, None] + sizes - both))
+    assert set(zip(i.tolist(), j.tolist())) <= set(zip(*(x.tolist() for x in every)))
+    assert brute.components(120, zip(i.tolist(), j.tolist())) == brute.components(120, zip(*(x.tolist() for x in every)))
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, pairs):
