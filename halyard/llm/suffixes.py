@@ -3,14 +3,15 @@
 The suffixes that matter are those at content anchors: all 400-byte windows
 whose least 64-byte hash stands at one place form a run, and equal windows
 have their anchors at equal offsets. Suffixes are bucketed by their anchor.
-A run that occurs again whole (128-bit hash) is decided at once. The rest of a
-bucket is sorted: multikey quicksort on 8-byte symbols to a shallow depth,
-then a blind trie for the suffixes that still agree, rightwards from the
-anchor and leftwards before it. Common prefix lengths of the two orders say
-which windows two suffixes share.
-
-A bucket of more than BUCKET suffixes is not sorted in one task: its windows
-are counted by 128-bit hash instead, which is exact and spreads.
+Equal runs are one suffix with a count, and all windows of a run with a count
+of two are repeated. One run of each kind is sorted, those with a count beside
+the single ones: multikey quicksort on 8-byte symbols to a shallow depth beyond
+the anchor, then a blind trie for the suffixes that still agree, rightwards
+from the anchor and leftwards before it. Common prefix lengths of the two
+orders say which windows two suffixes share.
+
+A bucket of more than BUCKET suffixes is split by deeper content first
+(buckets.py), so it spreads over tasks and every part is sorted.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import units
-from halyard.llm.common import materialize, shuffle_partitions
-from halyard.llm.substrings import LAST, block_index, covered, keyed, listed, numbers, spans_per_row, strings, window_hashes
+from halyard.llm.buckets import KIND, judged, shared_runs
+from halyard.llm.common import materialize, spread_join
+from halyard.llm.substrings import LAST, block_index, covered, keyed, listed, spans_per_row, strings
 
 WINDOW = 400
 GRAM = 64
@@ -89,10 +91,12 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(parts: list[bytes], shallow: int = SHALLOW) -> list[int]:
-    """Numbers of the strings in byte order; equal ones in any order."""
+def deep_shallow(parts: list[bytes], shallow: int = SHALLOW, start: int = 0) -> list[int]:
+    """Numbers of the strings in byte order; equal ones in any order. All
+    strings agree in the first `start` bytes."""
     out: list[int] = []
-    stack = [(list(range(len(parts))), 0)]
+    shallow += start
+    stack = [(list(range(len(parts))), start)]
     while stack:
         group, depth = stack.pop()
         if len(group) < 2:
@@ -112,14 +116,15 @@ def deep_shallow(parts: list[bytes], shallow: int = SHALLOW) -> list[int]:
     return out
 
 
-def shared_windows(runs: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[np.ndarray]:
+def shared_windows(runs: list[tuple[bytes, int, int]], window: int = WINDOW, gram: int = 0) -> list[np.ndarray]:
     """For each run (its bytes, the anchor's offset, its windows): which of
-    its windows some other run of the bucket has too."""
+    its windows some other run of the bucket has too. gram: bytes of the anchor
+    that all runs share."""
     k = len(runs)
     right = [c[off:] for c, off, _ in runs]
     left = [c[:off][::-1] for c, off, _ in runs]
     found = [np.zeros(n, dtype=bool) for _, _, n in runs]
-    order = deep_shallow(right)
+    order = deep_shallow(right, start=gram)
     near = [common_prefix(right[a], right[b]) for a, b in zip(order, order[1:])]
 
     def mark(a: int, before: int, after: int) -> None:
@@ -159,81 +164,39 @@ def shared_windows(runs: list[tuple[bytes, int, int]], window: int = WINDOW) ->
     return found
 
 
-def run_bytes(rows: DataFrame, runs: DataFrame, window: int) -> DataFrame:
-    """(key, dk, low, n, off, single, bytes): the bytes under all windows of
-    each run. A document's runs travel as one array with its text."""
-    per_doc = runs.groupBy("dk").agg(F.collect_set(F.struct("low", "n", "key", "off", "single")).alias("b"))
-    # ord is not used; with it, the texts are shuffled once for all joins of the plan.
-    joined = rows.join(per_doc, "dk").select("dk", "text", "b.low", "b.n", "b.key", "b.off", "b.single", "ord")
+def sort_bucket(window: int, gram: int):  # noqa: ANN201
+    """Sorts a bucket and gives the shared windows of its single runs."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, at in units.slices(batch, 1):
-                low, n, text = listed(part, 2)
-                key, off = (part.column(i).flatten() for i in (4, 5))
-                start = at[text] + low
-                size = n + window - 1
-                ends = np.r_[0, np.cumsum(size)]
-                data = raw[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-                yield pa.RecordBatch.from_arrays([key, pa.array(numbers(part, "dk")[text]), pa.array(low.astype(np.int32)), pa.array(n.astype(np.int32)), off, part.column(6).flatten(), strings(data, ends, pa.binary())], names=["key", "dk", "low", "n", "off", "single", "bytes"])
-
-    return joined.mapInArrow(scan, "key long, dk long, low int, n int, off int, single boolean, bytes binary")
-
-
-def sort_buckets(contexts: DataFrame, window: int) -> DataFrame:
-    """(dk, low, n) of the shared windows of single runs, bucket by bucket.
-    A task streams its buckets in the order of their keys."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        out: list[list[int]] = [[], [], []]
-
-        def close() -> None:
-            if len(group) > 1:
-                for (dk, low, _, _, single, _), hit in zip(group, shared_windows([(g[5], g[3], g[2]) for g in group], window)):
-                    if single and hit.any():
-                        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                            out[0].append(dk)
-                            out[1].append(low + a)
-                            out[2].append(b - a)
-
-        for batch in batches:
-            for k, *rest in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if k != key:
-                    close()
-                    key, group = k, []
-                group.append(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["dk", "low", "n"])
-            out = [[], [], []]
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["dk", "low", "n"])
+    def judge(group: list[tuple]) -> list[tuple]:
+        out = []
+        for g, hit in zip(group, shared_windows([(g[12], g[10], g[9]) for g in group], window, gram)):
+            if g[11] and hit.any():
+                edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+                out += [(*g[3:9], a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        return out
 
-    dealt = contexts.repartition(shuffle_partitions(contexts.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(scan, "dk long, low int, n int")
+    return judge
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(dk, low, n): windows low to low + n - 1 of a row that also start
+    """(dk, ord, low, n): windows low to low + n - 1 of a row that also start
     elsewhere. Rows may overlap."""
-    index = materialize(block_index(rows, window, gram, False).drop("ord"), "runs")
-    shared = index.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    found = materialize(index.join(shared, "key"), "found")
-    kinds = found.groupBy("key", "h1", "h2").agg(F.count("*").alias("m"), F.min(F.struct("dk", "low")).alias("one"))
-    kinds = materialize(kinds, "kinds")
-    whole = found.join(kinds.where("m > 1").select("key", "h1", "h2"), ["key", "h1", "h2"], "left_semi").select("dk", "low", "n")
-    buckets = kinds.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("m") == 1).alias("open")).where("size > 1 AND open > 0").select("key", "size")
+    index = materialize(block_index(rows, window, gram, False), "runs")
+    found, kinds = shared_runs(index, across=False)
+    total = found.count()
+    whole = spread_join(found, kinds.where("n > 1").select(*KIND, "n"), KIND, total).select("dk", "ord", "low", "n")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("n") == 1).alias("open")).where("n > 1 AND open > 0").select("key", "n", F.col("n").alias("size_"))
     # One run of each kind stands for its copies.
-    suffixes = kinds.join(buckets, "key").select("key", "h1", "h2", "size", (F.col("m") == 1).alias("single"), "one.dk", "one.low")
-    suffixes = materialize(suffixes.join(found.select("key", "h1", "h2", "dk", "low", "n", "off").distinct(), ["key", "h1", "h2", "dk", "low"]), "suffixes")
-    contexts = run_bytes(rows, suffixes.where(F.col("size") <= bucket), window)
-    spans = whole.unionByName(sort_buckets(contexts, window))
-    large = suffixes.where(F.col("size") > bucket)
-    if large.isEmpty():
-        return spans
-    windows = window_hashes(rows, large, window, False).distinct()
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w1", "w2")
-    return spans.unionByName(windows.join(twice, ["w1", "w2"], "left_semi").select("dk", F.col("at").alias("low"), F.lit(1).alias("n")))
+    suffixes = spread_join(kinds.withColumn("single", F.col("n") == 1).drop("n"), keys, ["key"], total)
+
+    def leaf(equal: DataFrame) -> DataFrame:
+        equal = equal.withColumn("at", F.col("off") - F.col("lo"))
+        twice = equal.groupBy("b", "core").agg(F.count("*").alias("n")).where("n > 1")
+        many = equal.count()
+        return spread_join(equal.drop("n"), twice, ["b", "core"], many).where("single").select(*KIND, "dk", "ord", "low", "at", F.lit(1).alias("n"))
+
+    sorted_ = judged(rows, suffixes, bucket, window, gram, False, sort_bucket(window, gram), leaf)
+    return whole.unionByName(sorted_.select("dk", "ord", (F.col("low") + F.col("at")).alias("low"), "n"))
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
@@ -243,10 +206,13 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket:
     A byte goes if a string of `window` bytes that covers it also starts
     anywhere else, in the same text or in another row; so all copies go,
     repeated rows included. Null text is empty; texts under `window` bytes are
-    kept whole. Kept bytes need not be valid UTF-8."""
+    kept whole, longer ones are read whole at any length; an empty table gives
+    an empty one. Kept bytes need not be valid UTF-8.
+
+    A row goes by its doc_id and a 64-bit hash of doc_id and text."""
     rows = keyed(docs)
     spans = spans_per_row(repeated_spans(rows, window, gram, bucket))
-    joined = rows.join(spans, "dk", "left").select(F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "dk", "text", "s.low", "s.n")
+    joined = rows.join(spans, ["dk", "ord"], "left").select(F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "dk", "text", "s.low", "s.n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
