@@ -178,6 +178,7 @@ _filtered("items", _ITEM, 'tags ALL ["t1", "t4"]', "list_has_all(tags, ['t1', 't
 _filtered("items", _ITEM, 'tags NONE ["t1", "t5"]', "NOT list_has_any(tags, ['t1', 't5'])", "filter_none")
 _filtered("items", _ITEM, "rating IS NULL", "rating IS NULL", "filter_item_is_null")
 _filtered("items", _ITEM, 'category = "gpu" AND NOT (price < 200 OR active = false) AND rating BETWEEN 1 AND 4.5', "category = 'gpu' AND price >= 200 AND active AND rating BETWEEN 1 AND 4.5", "filter_and_or_not")
+_filtered("part", _PART, "p_partkey > p_retailprice OR p_size = p_partkey", "p_partkey > p_retailprice OR p_size = p_partkey", "filter_field_against_field")
 _filtered("items", _ITEM, "category > 5", "false", "filter_string_by_size")
 _filtered("items", _ITEM, 'price != "x" AND (price >= 500 && price <= 500 || price = 37)', "price IN (500, 37)", "filter_other_types")
 # A missing rating is an error: what is right of it is not looked at, and NOT does not turn it round.
@@ -280,6 +281,13 @@ def binary_knn(spark: SparkSession, d: str) -> DataFrame:
     return search.binary_knn(rows, bytes(code), K)
 
 
+@register("binary_filtered_knn", f"WITH {ITEMS}, {Q0} SELECT id, {_HAM}::BIGINT AS score FROM items, q WHERE active AND category = 'gpu' ORDER BY {_HAM}, id LIMIT {K}")
+def binary_filtered_knn(spark: SparkSession, d: str) -> DataFrame:
+    rows = items(spark, d).withColumn("code", codes.sign_bytes(F.col("embedding"), 64, first_highest=True))
+    code = rows.where("id = 0").first()["code"]
+    return search.binary_knn(rows, bytes(code), K, 'active = true AND category = "gpu"')
+
+
 _RANGE = "r AS (SELECT min(list_min(v)) AS lo, max(list_max(v)) AS hi FROM e)"
 _CODE = "list_transform(v, lambda x: greatest(0, least(255, round((x - lo) * 255 / (hi - lo))::INT)))"
 
@@ -305,6 +313,14 @@ def sq8_knn(spark: SparkSession, d: str) -> DataFrame:
     return search.scalar_knn(rows, query_vector(spark, d), K, *codes.train_scalar(rows))
 
 
+@register("sq8_dot", f"WITH {E}, {Q0}, {_RANGE}, c AS (SELECT id, {_CODE} AS code, {_CODE.replace('(v,', '(qv,')} AS qcode FROM e, q, r) SELECT id, list_sum(list_transform(list_zip(code, qcode), lambda p: p[1] * p[2]))::BIGINT AS score FROM c")
+def sq8_dot(spark: SparkSession, d: str) -> DataFrame:
+    rows = vectors(spark, d)
+    low, high = codes.train_scalar(rows)
+    query = codes.scalar_encode(F.array(*[F.lit(x) for x in query_vector(spark, d)]), low, high)
+    return rows.select("id", codes.scalar_dot(codes.scalar_encode(F.col("embedding"), low, high), query).cast("long").alias("score"))
+
+
 @register("pq_knn")
 def pq_knn(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
