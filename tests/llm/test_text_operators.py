@@ -207,6 +207,16 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(fast.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_merges_are_in_the_order_of_ids():
+    import json
+
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.merges_by_id(spec)
+    spec["model"]["merges"][10:12] = spec["model"]["merges"][10:12][::-1]
+    assert not packing.merges_by_id(spec)
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_ENTRIES", 5)
     fast, whole = packing.ChunkEncoder(BPE), packing.ChunkEncoder(BPE)
