@@ -57,7 +57,8 @@ def run_bytes(rows: DataFrame, kinds: DataFrame, window: int, by_word: bool, hig
     key, h1, h2, first, dk, low, len, off, single. A document's runs travel as
     one array with its text."""
     per_doc = kinds.groupBy("dk", F.col("first").alias("ord")).agg(F.collect_list(F.struct("low", "len", "off", "key", "h1", "h2", "single")).alias("b"))
-    joined = rows.join(per_doc, ["dk", "ord"]).select("ord", "dk", "text", "b.low", "b.len", "b.off", "b.key", "b.h1", "b.h2", "b.single")
+    # Both sides grow with the input, so neither is broadcast at any size.
+    joined = rows.join(per_doc.hint("merge"), ["dk", "ord"]).select("ord", "dk", "text", "b.low", "b.len", "b.off", "b.key", "b.h1", "b.h2", "b.single")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -195,7 +195,7 @@ def duplicate_spans(keyed_docs: DataFrame, window: int = WINDOW, gram: int = GRA
     parsed = materialize(judged(keyed_docs, open_, bucket, window, gram, True, parse_bucket(window), leaf), "parsed")
     # What holds for a kind's first run holds for its others in the same document.
     spans = parsed.groupBy(*KIND).agg(F.collect_set(F.struct("at", F.col("n").alias("m"))).alias("s"))
-    spans = spans.join(kinds.select(*KIND, "n"), KIND)
+    spans = spans.hint("merge").join(kinds.select(*KIND, "n"), KIND)
     own = spread_join(placed.where("first = ord"), spans, KIND, total)
     own = own.select("dk", "ord", "low", F.explode("s").alias("s")).select("dk", "ord", (F.col("low") + F.col("s.at")).alias("low"), F.col("s.m").alias("n"))
     return factors.unionByName(own)
@@ -215,7 +215,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bu
     A row goes by its doc_id and a 64-bit hash of doc_id and text."""
     rows = keyed(docs)
     spans = spans_per_row(duplicate_spans(rows, window, gram, bucket))
-    joined = rows.withColumn("doc_id", F.when(F.col("ord") < LAST, F.col("ord"))).join(spans, ["dk", "ord"], "left").select("doc_id", "dk", "text", "s.low", "s.n")
+    joined = rows.withColumn("doc_id", F.when(F.col("ord") < LAST, F.col("ord"))).join(spans.hint("merge"), ["dk", "ord"], "left").select("doc_id", "dk", "text", "s.low", "s.n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -212,7 +212,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bucket:
     A row goes by its doc_id and a 64-bit hash of doc_id and text."""
     rows = keyed(docs)
     spans = spans_per_row(repeated_spans(rows, window, gram, bucket))
-    joined = rows.join(spans, ["dk", "ord"], "left").select(F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "dk", "text", "s.low", "s.n")
+    joined = rows.join(spans.hint("merge"), ["dk", "ord"], "left").select(F.when(F.col("ord") < LAST, F.col("ord")).alias("doc_id"), "dk", "text", "s.low", "s.n")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
