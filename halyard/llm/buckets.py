@@ -33,6 +33,8 @@ _FOUND = [("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("dk", pa
 FOUND_DDL = "key long, h1 long, h2 long, dk long, ord long, low int, at int, n int"
 #: Units (bytes or words) of contexts that a task streams, about.
 TASK_UNITS = 16 << 20
+#: Documents of large buckets whose keys are broadcast, at most (about 40 MB of an executor).
+PICKED = 1 << 20
 
 
 def as_batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -142,7 +144,12 @@ def judged(rows: DataFrame, open_: DataFrame, bucket: int, window: int, gram: in
     found = streamed(run_bytes(rows, open_.where(F.col("size_") <= bucket), window, by_word, window - gram), weight or 0)
     if (most or 0) <= bucket:
         return found
-    wide = run_bytes(rows, open_.where(F.col("size_") > bucket), window, by_word, window - gram)
+    large = open_.where(F.col("size_") > bucket)
+    texts = large.select("dk", F.col("first").alias("ord")).distinct()
+    # Texts without a run of a large bucket are not dealt for it. Where the
+    # keys are too many to be broadcast, all texts are.
+    picked = rows.join(F.broadcast(texts), ["dk", "ord"], "left_semi") if texts.count() <= PICKED else rows
+    wide = run_bytes(picked, large, window, by_word, window - gram)
     while True:
         contexts = materialize(deeper(wide, window, by_word), "contexts")
         sizes = materialize(contexts.groupBy("b").agg(F.count("*").alias("n")).withColumn("size_", F.col("n")), "sizes")
