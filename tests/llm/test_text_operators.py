@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from halyard.llm import jaccard, language, lines, mixing, packing, privacy, substrings, suffixes
+from halyard.llm import buckets, jaccard, language, lines, mixing, packing, privacy, substrings, suffixes
 from halyard.llm.common import connected_components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,8 +77,11 @@ def test_suffixes(spark, seed, bucket):
     assert got == sorted(brute.suffixes(docs, 24))
 
 
-def test_one_anchor_in_many_contexts(spark):
-    """A passage that stands in every document, beside words of its own."""
+@pytest.mark.parametrize("picked", [buckets.PICKED, 0])
+def test_one_anchor_in_many_contexts(spark, monkeypatch, picked):
+    """A passage that stands in every document, beside words of its own; with
+    the keys of texts of large buckets broadcast, and with all texts dealt."""
+    monkeypatch.setattr(buckets, "PICKED", picked)
     r = random.Random(4)
     gram = [f"g{i}" for i in range(4)]
     side = lambda: [r.choice(["x", "y", "z"]) for _ in range(r.randint(0, 9))]
