@@ -1,9 +1,10 @@
 """Line dedup with content-defined chunks, in DataFrame operations only.
 
 A text is its lines (split at U+000A). Every line has a hash, and a rolling
-hash over the hashes of a line and the one before it ends a chunk wherever it
-is divisible by AVERAGE; so an inserted line moves the boundaries beside it
-and no others. A chunk of two non-blank lines or more that occurs again
+hash over the hashes of a line and the one before it, taken modulo a prime,
+ends a chunk wherever it is divisible by AVERAGE; so an inserted line moves the
+boundaries beside it and no others. A run of equal lines is never cut inside,
+and one of non-blank lines is a chunk of its own. A chunk of two non-blank lines or more that occurs again
 anywhere is kept where it occurs first and removed elsewhere, once the bytes
 of its copies have been compared.
 """
@@ -17,6 +18,8 @@ from halyard.llm.common import materialize
 
 #: Lines of a chunk, on average.
 AVERAGE = 4
+#: The rolling hash is taken modulo this prime, so that all bits of both lines count.
+PRIME = 65521
 
 
 def place() -> Column:
@@ -31,13 +34,23 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def ends_chunk(i: Column, average: int) -> Column:
+    """Whether a chunk ends after line i of lines, whose hashes are hashes."""
+    at = lambda j: F.coalesce(F.get("hashes", j), F.lit(-1))
+    full = lambda j: F.trim(F.get("lines", j)) != ""
+    last = i == F.size("hashes") - 1
+    rolled = (at(i) != at(i - 1)) & ((at(i) * 31 + at(i - 1)) % PRIME % average == 0)
+    run_ends = full(i) & (at(i) == at(i - 1))
+    run_begins = full(i + 1) & (at(i + 1) == at(i + 2))
+    return last | ((at(i) != at(i + 1)) & (rolled | run_ends | run_begins))
+
+
 def with_chunks(docs: DataFrame, average: int = AVERAGE) -> DataFrame:
     """docs (doc_id, text) with tkey (a hash of the text), lines, and chunks:
     an array of (no, start, len), start from 0."""
     docs = docs.withColumn("tkey", F.xxhash64("text")).withColumn("lines", F.split("text", "\n", -1))
     docs = docs.withColumn("hashes", F.transform("lines", line_hash))
-    last = F.size("hashes") - 1
-    ends = F.transform("hashes", lambda h, i: F.when((i == last) | ((h * 31 + F.coalesce(F.get("hashes", i - 1), F.lit(0))) % average == 0), i + 1))
+    ends = F.transform("hashes", lambda h, i: F.when(ends_chunk(i, average), i + 1))
     docs = docs.withColumn("ends", F.filter(ends, lambda e: e.isNotNull())).drop("hashes")
     begin = lambda i: F.coalesce(F.get("ends", i - 1), F.lit(0))
     return docs.withColumn("chunks", F.transform("ends", lambda e, i: F.struct(i.alias("no"), begin(i).alias("start"), (e - begin(i)).alias("len")))).drop("ends")
@@ -108,8 +121,12 @@ WITH lines AS (
 ), hashed AS (
   SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines
 ), ended AS (
-  SELECT *, (h * 31 + coalesce(lag(h) OVER w, 0)) % 4 = 0 AS stop FROM hashed
-  WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
+  SELECT *, h <> after_ AND (h <> before_ AND (h * 31 + before_) % 65521 % 4 = 0
+    OR full_line AND h = before_ OR full_after AND after_ = second_) AS stop
+  FROM (
+    SELECT *, coalesce(lag(h) OVER w, -1) AS before_, coalesce(lead(h) OVER w, -1) AS after_, coalesce(lead(h, 2) OVER w, -1) AS second_,
+      trim(line, ' ') <> '' AS full_line, coalesce(trim(lead(line) OVER w, ' ') <> '', false) AS full_after
+    FROM hashed WINDOW w AS (PARTITION BY doc_id, text ORDER BY i))
 ), numbered AS (
   SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM ended
 ), chunks AS (

@@ -185,6 +185,22 @@ def test_lines_against_sql(spark):
     assert lines.dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_runs_of_equal_lines(spark):
+    """A block of one repeated line goes from the second document on, whatever
+    stands beside it; blank runs are no chunk; SQL agrees."""
+    lead = [[f"own {i} {k}" for k in range(3)] for i in range(40)]
+    rows = [(i, "\n".join([*lead[i], *[f"same {i % 4}"] * 35, *reversed(lead[i])])) for i in range(40)]
+    rows += [(100 + i, "\n".join(["a b", "", "", f"c {i}", "", "", "", "x", "x"])) for i in range(6)] + [(200, "\n\n\n"), (201, "\n\n\n"), (202, "y\ny"), (203, "y\ny"), (204, "y")]
+    found = lines.dedup_lines(frame(spark, rows))
+    gone = {r["doc_id"]: r["n_removed"] for r in found.collect()}
+    assert [gone[i] for i in range(40)] == [0] * 4 + [35] * 36
+    assert (gone[100], gone[200], gone[201], gone[202], gone[203], gone[204]) == (0, 0, 0, 0, 2, 0)
+    assert all(gone[100 + i] >= 2 for i in range(1, 6))
+    got = found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    assert sorted(tuple(r) for r in got.collect()) == sorted(duckdb.sql(lines.ORACLE_SQL).fetchall())
+
+
 def test_lines_survive_a_shift(spark):
     shared = [f"shared line {i}" for i in range(40)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(["new", *shared[:20], "also new", *shared[20:]]))]
