@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,10 +325,35 @@ def sq8_dot(spark: SparkSession, d: str) -> DataFrame:
 @register("pq_knn")
 def pq_knn(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
-    book = product.train(rows, subquantizers=8, ksub=32, iterations=10)
+    book = product.train(rows)
     return rounded(product.product_knn(product.encode(rows, book), book, query_vector(spark, d), K))
 
 
+# With a given codebook (the slices of 32 vectors) codes and scores have one result.
+_BOOK = """slices AS (SELECT id, m::INT AS m, list_slice(v, m * 8 + 1, m * 8 + 8) AS s FROM e, range(8) t(m)),
+book AS (SELECT m, id AS j, s AS c FROM slices WHERE id < 32),
+near AS (SELECT x.id, x.m, j, c, row_number() OVER (PARTITION BY x.id, x.m ORDER BY list_distance(s, c), j) AS r FROM slices x JOIN book b ON x.m = b.m),
+coded AS (SELECT id, m, j, c FROM near WHERE r = 1)"""
+
+
+def given_book(spark: SparkSession, d: str) -> product.Codebook:
+    rows = vectors(spark, d).where("id < 32").orderBy("id").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=float)
+    return product.Codebook(x.reshape(len(x), 8, -1).transpose(1, 0, 2).copy())
+
+
+@register("pq_encode", f"WITH {E}, {_BOOK} SELECT id, string_agg(j::VARCHAR, ',' ORDER BY m) AS code FROM coded GROUP BY id")
+def pq_encode(spark: SparkSession, d: str) -> DataFrame:
+    coded = product.encode(vectors(spark, d), given_book(spark, d))
+    return coded.select("id", F.array_join(F.transform("code", lambda c: c.cast("string")), ",").alias("code"))
+
+
+@register("pq_scan", f"WITH {E}, {_BOOK}, scored AS (SELECT x.id, sum(list_distance(x.c, q.s) * list_distance(x.c, q.s)) AS s FROM coded x JOIN slices q ON q.id = 0 AND q.m = x.m GROUP BY x.id) SELECT id, round(s, 6) AS score FROM scored ORDER BY s, id LIMIT {K}")
+def pq_scan(spark: SparkSession, d: str) -> DataFrame:
+    book = given_book(spark, d)
+    return rounded(product.product_knn(product.encode(vectors(spark, d), book), book, query_vector(spark, d), K))
+
+
 # Sparse vectors: term counts of the documents.
 
 _POSTINGS = r"""postings AS (

@@ -51,12 +51,54 @@ class Codebook:
         return ((self.centroids - q) ** 2).sum(axis=2)
 
 
-def train(vectors: DataFrame, subquantizers: int = 8, ksub: int = 256, iterations: int = 15, tolerance: float = 1e-4, seed: int = 42, vector_column: str = "embedding") -> Codebook:
-    """A codebook by k-means of every slice, on the executors. The driver
-    holds the centroids, whose size does not follow the data."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+#: Rows a centroid that the first centroids are drawn from.
+SEED_ROWS = 16
+
+
+def _first_centroids(x: np.ndarray, ksub: int, seed: int) -> np.ndarray:
+    """k-means++ over a sample of one slice: each next centroid is a row drawn
+    by its squared distance to the nearest so far; all at 0, any row."""
+    draw = np.random.default_rng(seed)
+    found = [x[draw.integers(len(x))]]
+    near = ((x - found[0]) ** 2).sum(axis=1)
+    while len(found) < ksub:
+        total = near.sum()
+        found.append(x[draw.choice(len(x), p=near / total) if total > 0 else draw.integers(len(x))])
+        near = np.minimum(near, ((x - found[-1]) ** 2).sum(axis=1))
+    return np.stack(found)
+
+
+def _sums(rows: DataFrame, book: Codebook) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and counts of the rows of every centroid of every slice, in one
+    pass: a task sends on one row a centroid, and as many reach the driver."""
+    parts, ksub, step = book.centroids.shape
+    names = ["m", "j", "n", *[f"s{i}" for i in range(step)]]
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((parts, ksub, step)), np.zeros((parts, ksub), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, parts, step)
+                code = book.codes(x.reshape(len(x), -1))
+                for m in range(parts):
+                    np.add.at(total[m], code[:, m], x[:, m])
+                    n[m] += np.bincount(code[:, m], minlength=ksub)
+        m, j = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (m.astype(np.int32), j.astype(np.int32), n[m, j], *total[m, j].T)], names=names)
+
+    partial = rows.mapInArrow(scan, ", ".join(["m int, j int, n long", *[f"{c} double" for c in names[3:]]]))
+    total, n = np.zeros((parts, ksub, step)), np.zeros((parts, ksub), dtype=np.int64)
+    for r in partial.groupBy("m", "j").agg(*[F.sum(c).alias(c) for c in names[2:]]).collect():
+        n[r["m"], r["j"]], total[r["m"], r["j"]] = r["n"], r[3:]
+    return total, n
+
+
+def train(vectors: DataFrame, subquantizers: int = 8, ksub: int = 256, iterations: int = 15, tolerance: float = 1e-4, seed: int = 42, vector_column: str = "embedding") -> Codebook:
+    """A codebook by k-means of every slice, all slices in one pass an
+    iteration. First centroids come from SEED_ROWS rows a centroid, those of
+    the least hash; every row counts in the iterations. A centroid without
+    rows moves to the row of that sample furthest from its own. The driver
+    holds the sample and the centroids, whose sizes do not follow the data."""
     rows = vectors.where(finite(F.col(vector_column))).select(F.col(vector_column).cast("array<double>").alias("v"))
     first = rows.first()
     if first is None:
@@ -67,17 +109,24 @@ def train(vectors: DataFrame, subquantizers: int = 8, ksub: int = 256, iteration
     if not 2 <= ksub <= 256:
         raise SearchError("a slice has 2 to 256 centroids")
     rows = rows.where(F.size("v") == size).persist()
-    if rows.count() < ksub:
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(SEED_ROWS * ksub).collect()])
+    if len(sample) < ksub:
+        rows.unpersist()
         raise SearchError(f"fewer than {ksub} vectors to train on")
-    step = size // subquantizers
-    books = []
-    for m in range(subquantizers):
-        part = rows.select(array_to_vector(F.slice("v", m * step + 1, step)).alias("features"))
-        centers = np.array(KMeans(k=ksub, seed=seed + m, maxIter=iterations, tol=tolerance).fit(part).clusterCenters())
-        # Equal points can leave fewer centres; repeating one changes no code.
-        books.append(np.concatenate([centers, np.repeat(centers[:1], ksub - len(centers), axis=0)]))
+    parts = sample.reshape(len(sample), subquantizers, -1)
+    centroids = np.stack([_first_centroids(parts[:, m], ksub, seed + m) for m in range(subquantizers)])
+    for _ in range(iterations):
+        total, n = _sums(rows, Codebook(centroids))
+        moved = np.where(n[:, :, None] > 0, total / np.maximum(n, 1)[:, :, None], centroids)
+        for m, j in np.argwhere(n == 0):
+            gap = ((parts[:, m, None, :] - moved[m][None]) ** 2).sum(axis=2).min(axis=1)
+            moved[m, j] = parts[gap.argmax(), m]
+        shift = np.abs(moved - centroids).max()
+        centroids = moved
+        if shift <= tolerance:
+            break
     rows.unpersist()
-    return Codebook(np.stack(books))
+    return Codebook(centroids)
 
 
 def encode(vectors: DataFrame, book: Codebook, id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
