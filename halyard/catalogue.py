@@ -15,7 +15,7 @@ from halyard.functions import codes, sparse, vector
 from halyard.operators import hybrid, metadata, product, search
 from halyard.operators.collection import Collection
 from halyard.plans import Filter, evaluate, keep
-from halyard.plans.estimate import exact_share
+from halyard.plans.estimate import Strategy, exact_share
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -236,6 +236,39 @@ def filtered_knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.knn_batch(items(spark, d), asked(spark, d), K, "l2", "price < 500 AND active = true", exclude_self=True)).select("qid", "id", "score", "rank")
 
 
+_NEAR = "near AS (SELECT id, category, active, list_distance(v, qv) AS s, row_number() OVER (ORDER BY list_distance(v, qv), id) AS r FROM items, q)"
+
+
+@register("filtered_search_post", f"WITH {ITEMS}, {Q0}, {_NEAR} SELECT id, round(s, 6) AS score FROM near WHERE r <= {3 * K} AND category = 'gpu' ORDER BY r LIMIT {K}")
+def filtered_search_post(spark: SparkSession, d: str) -> DataFrame:
+    found = search.filtered_search(items(spark, d), query_vector(spark, d), K, 'category = "gpu"', strategy=Strategy("post"))
+    return rounded(found.rows)
+
+
+@register("filtered_search_hybrid", f"WITH {ITEMS}, {Q0}, {_NEAR}, few AS (SELECT count_if(r <= {3 * K // 2} AND category = 'gpu') < {K} AS few FROM near) SELECT id, round(s, 6) AS score FROM near, few WHERE r <= CASE WHEN few THEN {10 * K} ELSE {3 * K // 2} END AND category = 'gpu' ORDER BY r LIMIT {K}")
+def filtered_search_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    found = search.filtered_search(items(spark, d), query_vector(spark, d), K, 'category = "gpu"', strategy=Strategy("hybrid"))
+    return rounded(found.rows)
+
+
+_REPORT = f"""WITH {ITEMS}, {Q0}, {_NEAR}, n AS (
+  SELECT least(count(*), {3 * K}) AS post, CASE WHEN count_if(active AND r <= {3 * K // 2}) >= {K} THEN {3 * K // 2} ELSE least(count(*), {10 * K}) END AS hybrid,
+    count(*) AS total, count_if(active) AS passed FROM near
+), rows AS (
+  SELECT 'pre' AS strategy, passed AS found, total AS of_, passed AS evaluated FROM n
+  UNION ALL SELECT 'post', (SELECT count_if(active AND r <= post) FROM near), post, post FROM n
+  UNION ALL SELECT 'hybrid', (SELECT count_if(active AND r <= hybrid) FROM near), hybrid, hybrid FROM n)
+SELECT strategy, found >= {K} AS complete, round(found / of_, 6) AS observed_selectivity, evaluated::BIGINT AS vectors_evaluated FROM rows"""
+
+
+@register("filtered_search_report", _REPORT)
+def filtered_search_report(spark: SparkSession, d: str) -> DataFrame:
+    rows, q = items(spark, d), query_vector(spark, d)
+    found = [search.filtered_search(rows, q, K, "active = true", strategy=Strategy(s)) for s in ("pre", "post", "hybrid")]
+    report = [(f.strategy, f.complete, round(f.observed_selectivity, 6), f.vectors_evaluated) for f in found]
+    return spark.createDataFrame(report, "strategy string, complete boolean, observed_selectivity double, vectors_evaluated long")
+
+
 @register("filtered_count", f"WITH {ITEMS} SELECT count(*) AS n FROM items WHERE category = 'cpu' AND price > 300")
 def filtered_count(spark: SparkSession, d: str) -> DataFrame:
     return keep(items(spark, d), 'category = "cpu" AND price > 300').agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ match; ties go to the smaller id."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +22,9 @@ from pyspark.sql import Window as W
 from halyard.functions import codes
 from halyard.functions.vector import METRICS, finite, lit_vector, l2_squared, rescored_similarity
 from halyard.plans.ast import Filter
-from halyard.plans.bind import EPSILON, Fields, keep, operand, tree_of
+from halyard.plans.bind import EPSILON, Fields, evaluate, keep, operand, tree_of
 from halyard.plans.ast import field, literal
-from halyard.plans.estimate import always, choose_strategy, never, sampled_share
+from halyard.plans.estimate import Strategy, always, choose_strategy, exact_share, never, sampled_share
 
 #: Bytes of queries that go to every task; more are dealt to block pairs.
 QUERY_BYTES = 32 << 20
@@ -175,21 +176,41 @@ class FilteredResult:
     vectors_evaluated: int
 
 
-def filtered_search(vectors: DataFrame, query: list[float], k: int, where: str | Filter | None = None, metric: str = "l2", id_column: str = "id", vector_column: str = "embedding") -> FilteredResult:
-    """A filtered search with its diagnostics. Spark filters before it ranks;
-    `strategy` says what an index that cannot would have done. complete is
-    true when k rows are found, or when the form of the filter tells that
-    there are none."""
+def filtered_search(vectors: DataFrame, query: list[float], k: int, where: str | Filter | None = None, metric: str = "l2", id_column: str = "id", vector_column: str = "embedding", strategy: Strategy | None = None) -> FilteredResult:
+    """A filtered search with its diagnostics. complete is true when k rows
+    are found, or when the form of the filter tells that there are none.
+
+    Without a strategy, or with auto or pre, Spark filters before it ranks and
+    finds k rows wherever k match; without one or with auto, the result's
+    strategy says what an index that cannot would have done. post ranks first and filters the
+    k * oversample nearest; hybrid does so with its low factor, and with its
+    high one where the first gives fewer than k. Both can find fewer than k."""
     tree = tree_of(where)
+    if strategy is not None and strategy.check().name in ("post", "hybrid") and not never(tree):
+        return _ranked_first(vectors, query, k, tree, metric, id_column, vector_column, strategy)
     rows = knn(vectors, query, k, metric, where, id_column, vector_column)
-    total = vectors.count()
+    total, passed, _ = exact_share(vectors, tree).first()
     if not total or never(tree):
         return FilteredResult(rows, True, "none", 0.0, 0)
-    passed = total if always(tree) else keep(vectors, tree).count()
-    name = "none" if always(tree) else choose_strategy(sampled_share(vectors, tree).share).name
+    if strategy is not None and strategy.name == "pre":
+        name = "pre"
+    else:
+        name = "none" if always(tree) else choose_strategy(sampled_share(vectors, tree).share).name
     return FilteredResult(rows, passed >= k, name, passed / total, passed)
 
 
+def _ranked_first(vectors: DataFrame, query: list[float], k: int, tree: Filter, metric: str, id_column: str, vector_column: str, strategy: Strategy) -> FilteredResult:
+    marked = vectors.withColumn("passes_", F.coalesce(evaluate(vectors, tree), F.lit(False)))
+    factors = [strategy.oversample] if strategy.name == "post" else [strategy.low, strategy.high]
+    for factor in factors:
+        near = knn(marked, query, math.ceil(k * factor), metric, None, id_column, vector_column, ["passes_"])
+        seen, passed = near.agg(F.count("*"), F.count_if("passes_")).first()
+        if passed >= k:
+            break
+    found = ranked(near.where("passes_"), F.col("score"), k, METRICS[metric].similarity, id_column)
+    return FilteredResult(found.select(id_column, "score"), passed >= k, strategy.name, passed / seen if seen else 0.0, seen)
+
+
 @dataclass(frozen=True)
 class Boost:
     """A weight for rows whose field equals a value; a string also matches an

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions import codes, sparse, vector
 from halyard.operators import hybrid, product, search
+from halyard.plans.estimate import Strategy
 
 N, D = 300, 24
 
@@ -106,6 +107,15 @@ def test_filtered(vectors, matrix):
     assert found.complete and found.vectors_evaluated == len(keep) and found.observed_selectivity == len(keep) / N
     assert search.filtered_search(vectors, q, 10, "price > 5 AND price < 5").complete
     assert not search.filtered_search(vectors, q, 10, "price = 5 AND category = \"cpu\"").complete
+    near = best(score, 30, False)
+    post = search.filtered_search(vectors, q, 10, 'category = "gpu"', strategy=Strategy("post"))
+    passing = [i for i in near if i % 3 == 0]
+    assert [r["id"] for r in post.rows.collect()] == passing[:10] and post.vectors_evaluated == 30 and post.strategy == "post"
+    assert post.complete == (len(passing) >= 10) and post.observed_selectivity == len(passing) / 30
+    hybrid_ = search.filtered_search(vectors, q, 10, "price = 5", strategy=Strategy("hybrid"))
+    assert [r["id"] for r in hybrid_.rows.collect()] == [i for i in best(score, 100, False) if i % 100 == 5][:10]
+    assert not hybrid_.complete and hybrid_.vectors_evaluated == 100
+    assert search.filtered_search(vectors, q, 10, "price > 5 AND price < 5", strategy=Strategy("post")).complete
     assert search.count(vectors, "price < 50") == sum(i % 100 < 50 for i in range(N))
 
 
