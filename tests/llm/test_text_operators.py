@@ -1,6 +1,7 @@
 """Text operators against brute force, on hard and on random inputs."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from halyard.llm import buckets, jaccard, language, lines, mixing, packing, privacy, substrings, suffixes
+from halyard.llm import buckets, common, jaccard, language, lines, mixing, packing, privacy, substrings, suffixes
 from halyard.llm.common import connected_components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -134,6 +135,47 @@ def test_jaccard(spark, seed, region):
     assert got == sorted(brute.jaccard(docs))
 
 
+def test_copies_are_dealt_once(spark):
+    """A text that stands in every task is dealt by one of them."""
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i if i else None, text) for i in range(8)] + [(9, "a b c")], "doc_id long, text string").repartition(8)
+    members = jaccard.members_of(docs)
+    dealt = jaccard.deal_shingles(docs, 1, 5, jaccard.copied_classes(members)).where("bucket = 0").select("tokens").collect()
+    assert sorted(len(jaccard.undo_deltas(bytes(r["tokens"]), 0)) for r in dealt) == [1, 36]
+    found = {(r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert found == {(i if i else None, 1) for i in range(8)} | {(9, 9)}
+
+
+def test_little_stays_on_disk(spark, tmp_path, monkeypatch):
+    """A write leaves no shuffle files, and a join few tables."""
+    import gc
+    import glob
+
+    def shuffled():
+        local = spark.conf.get("spark.local.dir", None) or "/tmp"
+        return set(glob.glob(f"{local}/blockmgr-*/*/shuffle_*.data"))
+
+    before = shuffled()
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2) * 50 + j}" for j in range(40))) for i in range(60)], "doc_id long, text string")
+    back, path = common.written(docs.repartition(3, "doc_id"), "some")
+    assert not shuffled() - before
+    docs.repartition(3, "doc_id").write.format("noop").mode("append").save()
+    assert shuffled() - before
+    assert back.count() == 60
+    found = jaccard.jaccard_components(docs)
+    assert {r["component_id"] for r in found.collect()} == set(range(0, 60, 2))
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    jaccard.jaccard_components(docs)
+    assert not {p.name.split("-")[0] for p in tmp_path.iterdir()} & {"common", "sets", "regions", "split"}
+    del back
+    for _ in range(10):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+        common.remove_unread(spark)
+    assert path not in common._readers
+
+
 def test_jaccard_chains_and_repeats(spark):
     words = [f"w{i}" for i in range(200)]
     docs = [(50 - i, " ".join(words[i * 3 : i * 3 + 60])) for i in range(20)]
