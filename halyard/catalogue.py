@@ -398,7 +398,8 @@ _DOTS = "dots AS (SELECT qid, id, sum(p.weight * a.weight) AS s FROM postings p
 
 
 def terms(rows: DataFrame, id_column: str, name: str) -> DataFrame:
-    words = rows.select(F.col(id_column).alias(name), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
+    # Texts are dealt by id once; neither the counts nor a search shuffle them again.
+    words = rows.select(F.col(id_column).alias(name), "text").repartition(name).select(name, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''")
     return words.groupBy(name, "term").agg(F.count("*").cast("double").alias("weight"))
 
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,6 +29,14 @@ from halyard.plans.estimate import Strategy, always, choose_strategy, exact_shar
 
 #: Bytes of queries that go to every task; more are dealt to block pairs.
 QUERY_BYTES = 32 << 20
+#: Postings of sparse queries that go to every task; more are dealt to block pairs.
+SPARSE_POSTINGS = 3 << 20
+#: Scores, and products of light terms, worked on at once; a term that this
+#: share of the queries has is a column of a matrix.
+CELLS, HEAVY = 1 << 22, 0.05
+#: Decimal places that scores of a batch are ranked by: equal vectors must tie,
+#: whatever the order in which a matrix product adds.
+PLACES = 12
 #: Rows of a block where queries or pairs meet vectors block by block.
 BLOCK = 4096
 
@@ -66,32 +75,67 @@ def count(vectors: DataFrame, where: str | Filter | None = None) -> int:
     return keep(vectors, where).count()
 
 
-def _kernel(queries: np.ndarray, names: np.ndarray, k: int, metric: str):  # noqa: ANN202
+def _rounded(x: np.ndarray, places: int) -> np.ndarray:
+    """Halves away from zero, as SQL's round; numbers too large for it as they are."""
+    scale = 10.0**places
+    return np.where(np.abs(x) < 2.0**52 / scale, np.copysign(np.floor(np.abs(x) * scale + 0.5) / scale, x), x)
+
+
+class _Best:
+    """The k highest values of each of n queries and their ids, ties to the
+    smaller id, as blocks of rows come by."""
+
+    def __init__(self, n: int, k: int, over: float = -np.inf) -> None:
+        self.n, self.k = n, k
+        self.q, self.ids, self.values = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        #: What a value must reach, and be over `over`.
+        self.least, self.over = np.full(n, -np.inf), over
+
+    def add(self, values: np.ndarray, ids: np.ndarray) -> None:
+        """values: a row per query, a column per id."""
+        hit = (values >= self.least[:, None]) & (values > self.over)
+        if values.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * self.n:
+            hit &= values >= np.partition(values, -self.k, axis=1)[:, -self.k, None]
+        i, j = np.nonzero(hit)
+        if not len(i):
+            return
+        q, own, value = np.r_[self.q, i], np.r_[self.ids, ids[j]], np.r_[self.values, values[i, j]]
+        order = np.lexsort((own, -value, q))
+        first = np.searchsorted(q[order], np.arange(self.n + 1))
+        place = np.arange(len(q)) - first[:-1][q[order]]
+        order = order[place < self.k]
+        self.q, self.ids, self.values = q[order], own[order], value[order]
+        full = np.flatnonzero(np.bincount(self.q, minlength=self.n) == self.k)
+        self.least[full] = self.values[np.searchsorted(self.q, full) + self.k - 1]
+
+    def rows(self, names: np.ndarray, sign: float = 1.0) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names[self.q]), pa.array(self.ids), pa.array(sign * self.values)], names=["qid", "id", "score"])
+
+
+def _kernel(queries: np.ndarray, names: np.ndarray, k: int, metric: str, places: int):  # noqa: ANN202
     m = METRICS[metric]
-    sign = -1.0 if m.similarity else 1.0
+    sign = 1.0 if m.similarity else -1.0
+    block = max(64, min(BLOCK, CELLS // max(1, len(queries))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids = np.zeros((len(queries), 0), dtype=np.int64)
-        best = np.zeros((len(queries), 0))
+        best = _Best(len(queries), k)
         for batch in batches:
             size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(size == queries.shape[1]))
-            for low in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(low, BLOCK)
+            for low in range(0, batch.num_rows, block):
+                part = batch.slice(low, block)
                 ids = part.column(0).to_numpy()
                 x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                score = np.concatenate([best, sign * m.matrix(queries, x)], axis=1)
-                own = np.concatenate([best_ids, np.broadcast_to(ids, (len(queries), len(ids)))], axis=1)
-                order = np.lexsort((own, score), axis=1)[:, :k]
-                best, best_ids = np.take_along_axis(score, order, axis=1), np.take_along_axis(own, order, axis=1)
-        if best.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(best_ids.ravel()), pa.array(sign * best.ravel())], names=["qid", "id", "score"])
+                best.add(sign * _rounded(m.matrix(queries, x), places), ids)
+        if len(best.q):
+            yield best.rows(names, sign)
 
     return scan
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: str | Filter | None = None, id_column: str = "id", vector_column: str = "embedding", exclude_self: bool = False) -> DataFrame:
-    """(qid, id, score, rank) of the k nearest vectors of every query.
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: str | Filter | None = None, id_column: str = "id", vector_column: str = "embedding", exclude_self: bool = False, places: int = PLACES) -> DataFrame:
+    """(qid, id, score, rank) of the k nearest vectors of every query, by the
+    score rounded to so many places, ties to the smaller id.
 
     queries: qid and embedding. Queries under QUERY_BYTES together are sent to
     every task; others meet the vectors in pairs of blocks, each in one task.
@@ -108,20 +152,20 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
         for r in queries.collect():
             by_size.setdefault(len(r["embedding"]), []).append((r["qid"], r["embedding"]))
         for group in by_size.values():
-            scan = _kernel(np.array([v for _, v in group]), np.array([q for q, _ in group], dtype=np.int64), take, metric)
+            scan = _kernel(np.array([v for _, v in group]), np.array([q for q, _ in group], dtype=np.int64), take, metric, places)
             part = rows.mapInArrow(scan, "qid long, id long, score double")
             found = part if found is None else found.unionByName(part)
         if found is None:
             found = rows.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score")).limit(0)
     else:
-        found = _block_search(rows, queries, n, take, metric)
+        found = _block_search(rows, queries, n, take, metric, places)
     if exclude_self:
         found = found.where("qid <> id")
     order = W.partitionBy("qid").orderBy(F.col("score").desc() if METRICS[metric].similarity else F.col("score").asc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_search(rows: DataFrame, queries: DataFrame, n: int, k: int, metric: str) -> DataFrame:
+def _block_search(rows: DataFrame, queries: DataFrame, n: int, k: int, metric: str, places: int) -> DataFrame:
     blocks = -(-n // BLOCK)
     total = max(1, -(-rows.count() // (4 * BLOCK)))
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m).cast("long"))
@@ -133,7 +177,7 @@ def _block_search(rows: DataFrame, queries: DataFrame, n: int, k: int, metric: s
         out = []
         for size, group in q.groupby(q["embedding"].map(len)):
             batch = pa.RecordBatch.from_arrays([pa.array(v["id"]), pa.array(v["embedding"].tolist(), pa.list_(pa.float64()))], names=["id", "embedding"])
-            scan = _kernel(np.stack(group["embedding"].to_numpy()), group["qid"].to_numpy(), k, metric)
+            scan = _kernel(np.stack(group["embedding"].to_numpy()), group["qid"].to_numpy(), k, metric, places)
             out += [b.to_pandas() for b in scan(iter([batch]))]
         return pd.concat(out) if out else pd.DataFrame({"qid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
@@ -306,13 +350,153 @@ def scalar_knn(vectors: DataFrame, query: list[float], k: int, low: float, high:
     return ranked(vectors, codes.scalar_l2_squared(own, theirs), k, False, id_column).select(id_column, "score")
 
 
+class SparseQueries:
+    """Sparse queries in a task: heavy terms as rows of a matrix, the others
+    as lists of queries."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        coded = rows["term"].combine_chunks().dictionary_encode()
+        self.terms = coded.dictionary
+        term, weight = coded.indices.to_numpy().astype(np.int64), rows["weight"].to_numpy()
+        self.names, q = np.unique(rows["qid"].to_numpy(), return_inverse=True)
+        self.norms = np.sqrt(np.bincount(q, weight * weight, len(self.names)))
+        times = np.bincount(term, minlength=len(self.terms))
+        heavy = times >= max(2, HEAVY * len(self.names))
+        self.column = np.where(heavy, np.cumsum(heavy) - 1, -1)
+        self.matrix = np.zeros((int(heavy.sum()), len(self.names)))
+        own = heavy[term]
+        np.add.at(self.matrix, (self.column[term[own]], q[own]), weight[own])
+        term, q, weight = term[~own], q[~own], weight[~own]
+        order = np.argsort(term, kind="stable")
+        self.q, self.weight = q[order].astype(np.int32), weight[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+
+    def scores(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Dot products, a row per query; row: from 0 to n - 1."""
+        column = self.column[term]
+        own = column >= 0
+        width = len(self.matrix)
+        found = np.bincount(row[own] * width + column[own], weight[own], n * width).reshape(n, width) @ self.matrix
+        row, term, weight = row[~own], term[~own], weight[~own]
+        times = self.first[term + 1] - self.first[term]
+        ends = np.r_[0, np.cumsum(times)]
+        low = 0
+        while low < len(term):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + CELLS, "right")) - 1)
+            at = np.repeat(self.first[term[low:high]] - ends[low:high], times[low:high]) + np.arange(ends[low], ends[high])
+            cell = np.repeat(row[low:high] * len(self.names), times[low:high]) + self.q[at]
+            found += np.bincount(cell, np.repeat(weight[low:high], times[low:high]) * self.weight[at], found.size).reshape(found.shape)
+            low = high
+        return found.T
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """ids, their norms, and the scores of all queries, from rows (id,
+        term, weight) in the order of their ids."""
+        most = max(16, CELLS // max(1, len(self.names)))
+        held: list[tuple] = []
+
+        def close(ids: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[tuple]:
+            names, first = np.unique(ids, return_index=True)
+            ends = np.r_[first, len(ids)]
+            for low in range(0, len(names), most):
+                part = slice(ends[low], ends[min(low + most, len(names))])
+                n = min(most, len(names) - low)
+                row = np.searchsorted(names[low : low + n], ids[part])
+                t, w = term[part], weight[part]
+                known = t >= 0
+                yield names[low : low + n], np.sqrt(np.bincount(row, w * w, n)), self.scores(row[known], t[known], w[known], n)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            term = pc.fill_null(pc.index_in(batch.column(1), value_set=self.terms), -1).to_numpy().astype(np.int64)
+            held.append((ids, term, batch.column(2).to_numpy()))
+            if sum(len(h[0]) for h in held) >= SPARSE_ROWS and held[0][0][0] != ids[-1]:
+                ids, term, weight = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(ids, ids[-1]))  # the last id may go on
+                yield from close(ids[:cut], term[:cut], weight[:cut])
+                held = [(ids[cut:], term[cut:], weight[cut:])]
+        if held:
+            yield from close(*(np.concatenate(x) for x in zip(*held)))
+
+
+#: Postings that a task gathers before it scores them.
+SPARSE_ROWS = 1 << 18
+_SCORED = "qid long, id long, score double"
+
+
+def _highest(queries: SparseQueries, k: int):  # noqa: ANN202
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(queries.names), k, over=0.0)
+        for ids, _, scores in queries.blocks(batches):
+            best.add(scores, ids)
+        yield best.rows(queries.names)
+
+    return scan
+
+
+def _over(queries: SparseQueries, least: float):  # noqa: ANN202
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, norms, scores in queries.blocks(batches):
+            with np.errstate(invalid="ignore", divide="ignore"):
+                value = scores / (norms[None, :] * queries.norms[:, None])
+            i, j = np.nonzero((value > least) & (scores != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(queries.names[i]), pa.array(ids[j]), pa.array(value[i, j])], names=["qid", "id", "score"])
+
+    return scan
+
+
+def _scan_sparse(postings: DataFrame, query: DataFrame, job, argument: float) -> DataFrame:  # noqa: ANN001
+    """job(queries, argument) over all postings, those of an id together.
+
+    A join on the term would make a row for every term that an id shares with
+    a query; here products are added where they arise, and no pair is shuffled.
+    Queries of up to SPARSE_POSTINGS terms go to every task; more are dealt,
+    as the postings are, to pairs of blocks."""
+    kind = "string" if postings.schema["term"].dataType != query.schema["term"].dataType else query.schema["term"].dataType
+    usable = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") != float("inf"))
+    of = lambda rows, name: rows.select(F.col(name).cast("long").alias(name), F.col("term").cast(kind).alias("term"), F.col("weight").cast("double").alias("weight")).where(usable & F.col(name).isNotNull())
+    rows, query = of(postings, "id"), of(query, "qid").where("term IS NOT NULL")
+    n = query.count()
+    if not n:
+        return rows.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score")).limit(0)
+    if n <= SPARSE_POSTINGS:
+        # A window asks for the rows of an id together and sorted, without a
+        # shuffle where they are dealt by id already.
+        together = rows.withColumn("n_", F.row_number().over(W.partitionBy("id").orderBy("id")))
+        return together.mapInArrow(job(SparseQueries(query.toArrow()), argument), _SCORED)
+    blocks, total = -(-n // SPARSE_POSTINGS), -(-rows.count() // SPARSE_POSTINGS)
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m).cast("long"))
+    spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    ours = query.select(deal("qid", blocks).alias("qb"), "qid", "term", "weight", spread(max(1, total)).alias("vb"))
+    theirs = rows.select(deal("id", max(1, total)).alias("vb"), "id", "term", "weight", spread(blocks).alias("qb"))
+
+    def meet(q: pa.Table, v: pa.Table) -> pa.Table:
+        out = []
+        if q.num_rows and v.num_rows:
+            v = v.select(["id", "term", "weight"]).sort_by("id")
+            out = list(job(SparseQueries(q), argument)(iter(v.to_batches())))
+        return pa.Table.from_batches(out, pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    return ours.groupBy("qb", "vb").cogroup(theirs.groupBy("qb", "vb")).applyInArrow(meet, _SCORED)
+
+
 def sparse_knn(postings: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """(qid, id, score, rank): the k rows of the highest dot product with each
     sparse query, over 0 only; k = 0 gives none.
 
-    postings: id, term, weight. query: qid, term, weight. An equi-join on the
-    term and a sum, which combines before it is shuffled; Spark sends a small
-    query side to every task and splits hot terms of a large one."""
-    products = postings.join(query, "term").groupBy("qid", "id").agg(F.sum(postings["weight"] * query["weight"]).alias("score"))
+    postings: id, term, weight. query: qid, term, weight. Weights that are null
+    or not finite take no part. A task sends on k rows per query."""
+    if not k:
+        return _scan_sparse(postings, query.limit(0), _highest, 0).withColumn("rank", F.lit(0))
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return products.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
+    return _scan_sparse(postings, query, _highest, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def sparse_above(postings: DataFrame, query: DataFrame, least: float) -> DataFrame:
+    """(qid, id, score): all rows whose cosine with a sparse query is over
+    `least`, which is 0 or more; columns as for sparse_knn."""
+    if least < 0:
+        raise SearchError("the least cosine must not be negative")
+    return _scan_sparse(postings, query, _over, least)

@@ -201,6 +201,78 @@ def test_sparse(spark):
     assert search.sparse_knn(postings, asked, 0).collect() == []
 
 
+def sparse_tables(spark, seed=3, n=90, terms=40):
+    rng = np.random.default_rng(seed)
+    m = rng.integers(0, 4, (n, terms)) * (rng.random((n, terms)) < rng.random(terms) ** 2)
+    m[7] = m[3]  # equal rows tie
+    rows = [(i, f"t{t}", float(m[i, t])) for i in range(n) for t in range(terms) if m[i, t]]
+    postings = spark.createDataFrame([*rows, (5, None, 1.0), (5, "t1", None), (6, "t1", float("nan"))], "id long, term string, weight double").repartition(3)
+    asked = spark.createDataFrame([r for r in rows if r[0] % 9 == 0] + [(900, "none", 1.0)], "qid long, term string, weight double")
+    return m, postings, asked
+
+
+@pytest.mark.parametrize("together", [1 << 20, 20])
+def test_sparse_batch(spark, monkeypatch, together):
+    """Queries sent to every task and in pairs of blocks, in few and many blocks of rows."""
+    monkeypatch.setattr(search, "SPARSE_POSTINGS", together)
+    monkeypatch.setattr(search, "CELLS", 64)
+    monkeypatch.setattr(search, "SPARSE_ROWS", 50)
+    monkeypatch.setattr(search, "HEAVY", 0.3)
+    m, postings, asked = sparse_tables(spark)
+    found = {}
+    for r in search.sparse_knn(postings, asked, 5).collect():
+        found.setdefault(r["qid"], []).append((r["rank"], r["id"], r["score"]))
+    want = {}
+    for q in range(0, 90, 9):
+        dots = m @ m[q]
+        if dots.any():
+            want[q] = [(k + 1, i, float(dots[i])) for k, i in enumerate(i for i in best(dots, 5, True) if dots[i] > 0)]
+    assert {q: sorted(x) for q, x in found.items()} == want
+
+
+@pytest.mark.parametrize("together", [1 << 20, 20])
+def test_sparse_above(spark, monkeypatch, together):
+    monkeypatch.setattr(search, "SPARSE_POSTINGS", together)
+    m, postings, asked = sparse_tables(spark)
+    m, postings = m.astype(float), postings.where("term IS NOT NULL")
+    size = np.sqrt((m * m).sum(axis=1))
+    with np.errstate(invalid="ignore"):
+        cosine = (m @ m.T) / np.outer(size, size)
+    found = {(r["qid"], r["id"]): r["score"] for r in search.sparse_above(postings, asked, 0.5).collect()}
+    assert found == pytest.approx({(q, i): cosine[q, i] for q in range(0, 90, 9) for i in range(90) if cosine[q, i] > 0.5})
+    with pytest.raises(search.SearchError):
+        search.sparse_above(postings, asked, -0.1)
+
+
+def test_no_row_for_a_shared_term(spark):
+    """A frequent term makes no rows: nothing is joined, and a task sends k rows a query."""
+    _, postings, asked = sparse_tables(spark)
+    for found in (search.sparse_knn(postings, asked, 5), search.sparse_above(postings, asked, 0.5)):
+        assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_batch_ranks_by_places(spark):
+    """Scores that are equal at the places asked for go by id; equal vectors always do."""
+    rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0000002, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.5])], "id long, embedding array<double>")
+    asked = rows.where("id = 0").selectExpr("id AS qid", "embedding")
+    ids = lambda **k: [r["id"] for r in search.knn_batch(rows, asked, 3, "l2", exclude_self=True, **k).orderBy("rank").collect()]
+    assert ids() == [3, 2, 1]
+    assert ids(places=6) == [3, 1, 2]
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=64).tolist()
+    same = spark.createDataFrame([(i, one if i % 3 else rng.normal(size=64).tolist()) for i in range(700)], "id long, embedding array<double>").repartition(3)
+    asked = same.where("id IN (1, 2)").selectExpr("id AS qid", "embedding")
+    got = search.knn_batch(same, asked, 20, "cosine").orderBy("qid", "rank").collect()
+    assert [r["id"] for r in got] == [i for i in range(30) if i % 3][:20] * 2
+
+
+def test_fusion_ranks_by_nine_places(spark):
+    frame = lambda rows: spark.createDataFrame([(0, i, s, r + 1) for r, (i, s) in enumerate(rows)], "qid long, id long, score double, rank int")
+    dense = frame([(8, 1.0), (2, 0.5 + 1e-12), (1, 0.5), (9, 0.0)])
+    found = hybrid.linear(dense, frame([(8, 1.0)]), 0.5).orderBy("rank").collect()
+    assert [r["id"] for r in found] == [8, 1, 2, 9]
+
+
 lists = st.lists(st.integers(0, 12), unique=True, max_size=8)
 
 
