@@ -21,7 +21,8 @@ def _both(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 
 
 def _top(rows: DataFrame, n: int) -> DataFrame:
-    order = W.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+    # By nine places, as sums of doubles depend on their order.
+    order = W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
