@@ -233,7 +233,7 @@ def filtered_knn_compound(spark: SparkSession, d: str) -> DataFrame:
 
 @register("filtered_knn_batch", f"WITH {ITEMS}, pairs AS (SELECT a.id AS qid, b.id, list_distance(b.v, a.v) AS s FROM items a, items b WHERE a.id % {EVERY} = 0 AND b.price < 500 AND b.active), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6), id) AS rank FROM pairs WHERE qid <> id) SELECT qid, id, round(s, 6) AS score, rank::INT AS rank FROM ranked WHERE rank <= {K}")
 def filtered_knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(search.knn_batch(items(spark, d), asked(spark, d), K, "l2", "price < 500 AND active = true", exclude_self=True)).select("qid", "id", "score", "rank")
+    return rounded(search.knn_batch(items(spark, d), asked(spark, d), K, "l2", "price < 500 AND active = true", exclude_self=True, places=6)).select("qid", "id", "score", "rank")
 
 
 _NEAR = "near AS (SELECT id, category, active, list_distance(v, qv) AS s, row_number() OVER (ORDER BY list_distance(v, qv), id) AS r FROM items, q)"
