@@ -423,11 +423,7 @@ def sparse_norms(spark: SparkSession, d: str) -> DataFrame:
 
 @register("sparse_cosine", f"WITH {_POSTINGS}, {_ASKED_SPARSE}, {_DOTS}, n AS (SELECT id, sqrt(sum(weight * weight)) AS n FROM postings GROUP BY id), m AS (SELECT qid, sqrt(sum(weight * weight)) AS m FROM asked GROUP BY qid) SELECT qid, id, round(s / (n * m), 6) AS score FROM dots JOIN n USING (id) JOIN m USING (qid) WHERE s / (n * m) > 0.5")
 def sparse_cosine(spark: SparkSession, d: str) -> DataFrame:
-    own, wanted = postings(spark, d), asked_sparse(spark, d)
-    dots = own.join(wanted, "term").groupBy("qid", "id").agg(F.sum(own["weight"] * wanted["weight"]).alias("s"))
-    size = lambda t, c: t.groupBy(c).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"{c}_norm"))
-    found = dots.join(size(own, "id"), "id").join(size(wanted, "qid"), "qid").withColumn("score", F.col("s") / (F.col("id_norm") * F.col("qid_norm")))
-    return rounded(found.where("score > 0.5").select("qid", "id", "score"))
+    return rounded(search.sparse_above(postings(spark, d), asked_sparse(spark, d), 0.5).select("qid", "id", "score"))
 
 
 @register("sparse_vector_ops", "WITH v AS (SELECT l_orderkey AS id, array_agg(DISTINCT l_linenumber) AS i FROM lineitem GROUP BY 1), w AS (SELECT l_orderkey AS id, sum(l_quantity * l_quantity) AS ss, sum(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0 END) AS second, count(*) AS nnz FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) GROUP BY 1) SELECT id, nnz::INT AS nnz, round(sqrt(ss), 6) AS norm, second::DOUBLE AS second, true AS valid FROM w")
