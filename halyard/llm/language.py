@@ -10,13 +10,14 @@ forwards and backwards and re-estimates the pieces from expected counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.common import held, lean
+
 #: Labelled rows of a language that training reads, in expectation.
 ROWS_PER_LANGUAGE = 1500
 EM_ROUNDS = 2
@@ -118,10 +119,9 @@ class Lattice:
         return counts
 
 
-@lru_cache(maxsize=2)
 def lattice_of(model_path: str) -> Lattice:
     """One lattice a worker, whatever the number of tasks it runs."""
-    return Lattice(model_path)
+    return held(Lattice, model_path)
 
 
 def words_of(text: str) -> list[str]:
@@ -159,7 +159,7 @@ def train(labelled: DataFrame, model_path: str, rows_per_language: int = ROWS_PE
             rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": pa.array([r[2] for r in rows], pa.int64())}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
-    counts = labelled.where(chosen).select("lang", "text").mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = labelled.where(chosen).select("lang", "text").mapInArrow(lean(split, keep=True), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = counts.persist()
     table[0] = UNKNOWN
     for _ in range(EM_ROUNDS):
@@ -181,7 +181,7 @@ def train(labelled: DataFrame, model_path: str, rows_per_language: int = ROWS_PE
             piece, column = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(column, pa.int32()), pa.array(total[piece, column])], names=["piece", "lang", "n"])
 
-        sums = counts.mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()
+        sums = counts.mapInArrow(lean(expect, keep=True), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).collect()
         table = np.full((lattice.size, len(langs)), 0.02)
         for r in sums:
             table[r["piece"], r["lang"]] += r["n"]
@@ -245,7 +245,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, model_path: s
                     sure.append(float(1 / np.exp(total - total[best]).sum()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(predict, StructType.fromJson(schema))
+    return kept.mapInArrow(lean(predict, keep=True), StructType.fromJson(schema))
 
 
 def held_out() -> F.Column:

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialize
+from halyard.llm.common import held, lean, materialize
 
 #: Distinct chunks of text whose ids a task remembers at once.
 CACHE_ENTRIES = 400_000
@@ -97,10 +96,9 @@ def merges_by_id(spec: dict) -> bool:
     return bool(plain) and all(a < b for a, b in zip(ids, ids[1:]))
 
 
-@lru_cache(maxsize=2)
 def encoder_of(path: str) -> ChunkEncoder:
     """One encoder a worker, whatever the number of tasks it runs."""
-    return ChunkEncoder(path)
+    return held(ChunkEncoder, path)
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -156,7 +154,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out[:n], kinds)], names=names[:n])
 
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(encode, keep=True), schema)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
