@@ -445,7 +445,8 @@ _FUSED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY roun
 
 @register("hybrid_rrf", f"WITH {_LISTS}, fused AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.id, s.id) AS id, coalesce(1 / (60.0::DOUBLE + d.rank), 0) + coalesce(1 / (60.0::DOUBLE + s.rank), 0) AS score FROM dense d FULL JOIN sparse s ON d.qid = s.qid AND d.id = s.id), {_FUSED}")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    found = hybrid.hybrid_search(vectors(spark, d), postings(spark, d), asked(spark, d), asked_sparse(spark, d))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = hybrid.hybrid_search(vectors(spark, d), texts, asked(spark, d), asked_sparse(spark, d), texts=True)
     return rounded(found.select("qid", "id", "score", "rank"))
 
 

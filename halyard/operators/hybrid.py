@@ -51,15 +51,15 @@ def linear(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5, n: int = FIN
     return _top(both.withColumn("score", alpha * F.coalesce("dense_score", F.lit(0.0)) + (1 - alpha) * F.coalesce("sparse_score", F.lit(0.0))), n)
 
 
-def hybrid_search(vectors: DataFrame, postings: DataFrame, queries: DataFrame, sparse_queries: DataFrame, dense_k: int = DENSE_K, sparse_k: int = SPARSE_K, n: int = FINAL_K, fusion: str = "rrf", alpha: float = 0.5, k: int = RRF_K, metric: str = "cosine", id_column: str = "id") -> DataFrame:
+def hybrid_search(vectors: DataFrame, postings: DataFrame, queries: DataFrame, sparse_queries: DataFrame, dense_k: int = DENSE_K, sparse_k: int = SPARSE_K, n: int = FINAL_K, fusion: str = "rrf", alpha: float = 0.5, k: int = RRF_K, metric: str = "cosine", id_column: str = "id", texts: bool = False) -> DataFrame:
     """Dense and sparse search of the same queries (by qid), fused. A k of 0
     leaves a list out; both at 0 is an error. Distances are turned round
-    before linear fusion, so that nearer is higher."""
+    before linear fusion, so that nearer is higher. texts: as for sparse_knn."""
     if dense_k < 0 or sparse_k < 0 or n < 1 or dense_k + sparse_k == 0:
         raise SearchError("a hybrid search needs a list and a positive number of results")
     none = vectors.select(F.lit(0).cast("long").alias("qid"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     dense = knn_batch(vectors, queries, dense_k, metric, id_column=id_column) if dense_k else none
     if not METRICS[metric].similarity:
         dense = dense.withColumn("score", -F.col("score"))
-    sparse = sparse_knn(postings, sparse_queries, sparse_k) if sparse_k else none
+    sparse = sparse_knn(postings, sparse_queries, sparse_k, texts) if sparse_k else none
     return rrf(dense, sparse, n, k) if fusion == "rrf" else linear(dense, sparse, alpha, n)

@@ -9,6 +9,8 @@ match; ties go to the smaller id."""
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -393,7 +395,7 @@ class SparseQueries:
         """ids, their norms, and the scores of all queries, from rows (id,
         term, weight) in the order of their ids."""
         most = max(16, CELLS // max(1, len(self.names)))
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
 
         def close(ids: np.ndarray, term: np.ndarray, weight: np.ndarray) -> Iterator[tuple]:
             names, first = np.unique(ids, return_index=True)
@@ -406,23 +408,28 @@ class SparseQueries:
                 known = t >= 0
                 yield names[low : low + n], np.sqrt(np.bincount(row, w * w, n)), self.scores(row[known], t[known], w[known], n)
 
+        def looked_up(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            # One lookup for all that is held: each builds a table of all terms.
+            term = pc.fill_null(pc.index_in(rows.column(1).cast(self.terms.type), value_set=self.terms), -1)
+            return rows.column(0).to_numpy(), term.to_numpy().astype(np.int64), rows.column(2).to_numpy()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy()
-            term = pc.fill_null(pc.index_in(batch.column(1), value_set=self.terms), -1).to_numpy().astype(np.int64)
-            held.append((ids, term, batch.column(2).to_numpy()))
-            if sum(len(h[0]) for h in held) >= SPARSE_ROWS and held[0][0][0] != ids[-1]:
-                ids, term, weight = (np.concatenate(x) for x in zip(*held))
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= SPARSE_ROWS and held[0].column(0)[0].as_py() != batch.column(0)[-1].as_py():
+                rows = pa.Table.from_batches(held)
+                ids = rows.column(0).to_numpy()
                 cut = int(np.searchsorted(ids, ids[-1]))  # the last id may go on
-                yield from close(ids[:cut], term[:cut], weight[:cut])
-                held = [(ids[cut:], term[cut:], weight[cut:])]
+                yield from close(*looked_up(rows.slice(0, cut)))
+                held = rows.slice(cut).to_batches()
         if held:
-            yield from close(*(np.concatenate(x) for x in zip(*held)))
+            yield from close(*looked_up(pa.Table.from_batches(held)))
 
 
 #: Postings that a task gathers before it scores them.
 SPARSE_ROWS = 1 << 18
+_POSTING = pa.schema([("id", pa.int64()), ("term", pa.string()), ("weight", pa.float64())])
 _SCORED = "qid long, id long, score double"
 
 
@@ -447,25 +454,73 @@ def _over(queries: SparseQueries, least: float):  # noqa: ANN202
     return scan
 
 
-def _scan_sparse(postings: DataFrame, query: DataFrame, job, argument: float) -> DataFrame:  # noqa: ANN001
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (id, term, weight) from rows (id, text in lower case) in the
+    order of their ids: a term is a run of a-z, its weight how often it stands
+    in the texts of its id."""
+    find = re.compile("[a-z]+").findall
+    ids: list[int] = []
+    sizes: list[int] = []
+    terms: list[str] = []
+    weights: list[int] = []
+    last, seen = None, Counter()
+
+    def end() -> None:
+        if seen:
+            ids.append(last)
+            sizes.append(len(seen))
+            terms.extend(seen.keys())
+            weights.extend(seen.values())
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, dtype=np.int64), sizes)), pa.array(terms, pa.string()), pa.array(np.array(weights, dtype=np.float64))], schema=_POSTING)
+        for column in (ids, sizes, terms, weights):
+            column.clear()
+        return out
+
+    for batch in batches:
+        for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if own != last:
+                end()
+                last, seen = own, Counter()
+                if len(terms) >= SPARSE_ROWS:
+                    yield flush()
+            seen.update(find(text.as_py()))
+    end()
+    if terms:
+        yield flush()
+
+
+def _scan_sparse(postings: DataFrame, query: DataFrame, job, argument: float, texts: bool = False) -> DataFrame:  # noqa: ANN001
     """job(queries, argument) over all postings, those of an id together.
+    texts: postings are (id, text), whose terms are counted where they are
+    scored, so that no row per term goes between Spark and Python.
 
     A join on the term would make a row for every term that an id shares with
     a query; here products are added where they arise, and no pair is shuffled.
     Queries of up to SPARSE_POSTINGS terms go to every task; more are dealt,
     as the postings are, to pairs of blocks."""
-    kind = "string" if postings.schema["term"].dataType != query.schema["term"].dataType else query.schema["term"].dataType
+    kind = "string" if texts or postings.schema["term"].dataType != query.schema["term"].dataType else query.schema["term"].dataType
     usable = F.col("weight").isNotNull() & ~F.isnan("weight") & (F.abs("weight") != float("inf"))
     of = lambda rows, name: rows.select(F.col(name).cast("long").alias(name), F.col("term").cast(kind).alias("term"), F.col("weight").cast("double").alias("weight")).where(usable & F.col(name).isNotNull())
-    rows, query = of(postings, "id"), of(query, "qid").where("term IS NOT NULL")
+    if texts:
+        rows = postings.select(F.col("id").cast("long").alias("id"), F.lower("text").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").repartition("id").sortWithinPartitions("id")
+    else:
+        rows = of(postings, "id")
+    query = of(query, "qid").where("term IS NOT NULL")
     n = query.count()
     if not n:
         return rows.select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("score")).limit(0)
+    if n <= SPARSE_POSTINGS and texts:
+        scan = job(SparseQueries(query.toArrow()), argument)
+        return rows.mapInArrow(lambda batches: scan(term_counts(batches)), _SCORED)
     if n <= SPARSE_POSTINGS:
         # A window asks for the rows of an id together and sorted, without a
         # shuffle where they are dealt by id already.
         together = rows.withColumn("n_", F.row_number().over(W.partitionBy("id").orderBy("id")))
         return together.mapInArrow(job(SparseQueries(query.toArrow()), argument), _SCORED)
+    if texts:
+        rows = rows.mapInArrow(term_counts, "id long, term string, weight double")
     blocks, total = -(-n // SPARSE_POSTINGS), -(-rows.count() // SPARSE_POSTINGS)
     deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m).cast("long"))
     spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
@@ -482,16 +537,18 @@ def _scan_sparse(postings: DataFrame, query: DataFrame, job, argument: float) ->
     return ours.groupBy("qb", "vb").cogroup(theirs.groupBy("qb", "vb")).applyInArrow(meet, _SCORED)
 
 
-def sparse_knn(postings: DataFrame, query: DataFrame, k: int) -> DataFrame:
+def sparse_knn(postings: DataFrame, query: DataFrame, k: int, texts: bool = False) -> DataFrame:
     """(qid, id, score, rank): the k rows of the highest dot product with each
     sparse query, over 0 only; k = 0 gives none.
 
     postings: id, term, weight. query: qid, term, weight. Weights that are null
-    or not finite take no part. A task sends on k rows per query."""
+    or not finite take no part. A task sends on k rows per query. texts:
+    postings are (id, text) instead, terms their runs of a-z in lower case and
+    weights how often each stands there."""
     if not k:
-        return _scan_sparse(postings, query.limit(0), _highest, 0).withColumn("rank", F.lit(0))
+        return _scan_sparse(postings, query.limit(0), _highest, 0, texts).withColumn("rank", F.lit(0))
     order = W.partitionBy("qid").orderBy(F.col("score").desc(), "id")
-    return _scan_sparse(postings, query, _highest, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _scan_sparse(postings, query, _highest, k, texts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def sparse_above(postings: DataFrame, query: DataFrame, least: float) -> DataFrame:

@@ -1,6 +1,8 @@
 """Search, codes, sparse vectors and fusion against numpy."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -302,3 +304,35 @@ def test_unit_scores(spark):
     rows = spark.createDataFrame([(0.0,), (2.5,), (float("inf"),), (float("nan"),), (None,)], "d double")
     got = [tuple(r) for r in rows.select(*[vector.to_unit_score(m, F.col("d")) for m in ("cosine", "l2", "dot")]).collect()]
     assert got[0] == (1, 1, 0.5) and got[1][0] == 0 and got[2:] == [(0, 0, 0)] * 3
+
+
+def test_sparse_texts(spark, monkeypatch):
+    """Texts give the rows of their postings, repeated, null and odd ones too, and no row a term."""
+    words = ["alpha", "beta", "gamma", "delta", "Beta", "GAMMA", "x1y2", "ÀÉK", "", "12"]
+    rows = [(None if i % 41 == 0 else i % 150, None if i % 37 == 0 else " ".join(words[(i * j + j * j) % 10] for j in range(i % 23))) for i in range(400)]
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    postings = texts.select("id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).where("term <> ''").groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+    query = postings.where("id % 10 = 0").withColumnRenamed("id", "qid")
+    want = sorted(map(tuple, search.sparse_knn(postings, query, 7).collect()))
+    assert len(want) > 50
+    found = search.sparse_knn(texts, query, 7, texts=True)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "Generate explode" not in found.select("id")._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(search, "SPARSE_POSTINGS", 20)
+    assert sorted(map(tuple, search.sparse_knn(texts, query, 7, texts=True).collect())) == want
+    assert search.sparse_knn(texts, query, 0, texts=True).count() == 0
+
+
+def test_sparse_terms_are_looked_up_together(monkeypatch):
+    """Every lookup builds a table of all terms, so there is one for all that is held, not one a batch."""
+    queries = search.SparseQueries(pa.table({"qid": [1, 1, 2], "term": ["a", "b", "b"], "weight": [1.0, 2.0, 3.0]}))
+    batches = [pa.RecordBatch.from_pydict({"id": [i, i, i + 1], "term": ["a", "c", "b"], "weight": [1.0, 1.0, 2.0]}) for i in range(0, 80, 2)]
+    calls, real = [], pc.index_in
+    monkeypatch.setattr(search.pc, "index_in", lambda *a, **b: calls.append(1) or real(*a, **b))
+    for most in (1 << 18, 30):
+        calls.clear()
+        monkeypatch.setattr(search, "SPARSE_ROWS", most)
+        found = [(ids, scores) for ids, _, scores in queries.blocks(iter(batches))]
+        assert np.concatenate([f[0] for f in found]).tolist() == list(range(80))
+        assert np.hstack([f[1] for f in found]).tolist() == [[1.0, 4.0] * 40, [0.0, 6.0] * 40]
+        assert len(calls) <= 5
